@@ -45,7 +45,7 @@ GRAM = 32
 #: Bytes worked on at once by the rolling hash; a longer text is cut with overlaps.
 SLICE = 1 << 20
 #: Bytes of a block whose BWT is taken; a block holds whole anchors.
-BLOCK = 1 << 19
+BLOCK = 1 << 20
 _C = np.uint64(0x9E3779B97F4A7C15)
 _POS = np.uint64((1 << 24) - 1)
 _TOP = np.uint64(1 << 63)
@@ -61,8 +61,10 @@ def gram_hashes(data: bytes) -> np.ndarray:
     n = len(data) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    a = np.frombuffer(data, np.uint8)
-    h = _mix(np.lib.stride_tricks.sliding_window_view(a, 8).copy().view("<u8").ravel())
+    h = np.frombuffer(data, np.uint8).astype(np.uint64)
+    for step in (1, 2, 4):
+        h = h[:-step] | h[step:] << np.uint64(8 * step)
+    h = _mix(h)
     for step in (8, 16):
         h = _mix(h[:-step] * np.uint64(31) + h[step:])
     return h
@@ -96,68 +98,79 @@ def anchors(data: bytes, crowded: np.ndarray, shift: int) -> tuple[np.ndarray, .
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of ``text`` ordered by their first ``depth`` symbols at least, by prefix doubling."""
+    """Places of ``text`` (small symbols) ordered by their first ``depth`` symbols at least, by prefix doubling."""
     n = len(text)
-    rank = text.astype(np.int64)
+    bits = max(int(text.max()).bit_length(), 1)
     have = 1
-    if n >= 4 and text.max() < 1 << 15:
-        r = np.concatenate([rank, np.zeros(4, np.int64)])
-        rank = r[:n] << 45 | r[1 : n + 1] << 30 | r[2 : n + 2] << 15 | r[3 : n + 3]
-        have = 4
-        order = np.argsort(rank, kind="stable")
-        s = rank[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-    else:
-        order = np.argsort(rank, kind="stable")
-    while have < depth:
-        second = np.zeros(n, np.int64)
-        second[: n - have] = rank[have:] + 1
-        pair = rank * (n + 1) + second
-        order = np.argsort(pair, kind="stable")
+    pair = text.astype(np.int64)
+    while 2 * have * bits <= 63:
+        pair[: n - have] = pair[: n - have] << have * bits | pair[have:]
+        pair[n - have :] <<= have * bits
+        have *= 2
+    rank = np.empty(n, np.int64)
+    while True:
+        order = np.argsort(pair)
         s = pair[order]
-        rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
+        if have >= depth or rank[order[-1]] == n - 1:
+            return order
+        pair = rank * (n + 1)
+        pair[: n - have] += rank[have:] + 1
         have *= 2
-        if rank[order[-1]] == n - 1:
-            break
-    return order
 
 
 def common_prefixes(bwt: np.ndarray, separators: int, depth: int) -> np.ndarray:
     """Common prefix of each suffix with the one before it, where that is below ``depth``; else -1.
 
-    ``bwt`` holds symbols; those below ``separators`` are unique ends. Row j's
-    boundary of value l - 1, extended backward by symbol c, is the boundary in
-    front of the first c at or behind j.
+    ``bwt`` holds symbols; those below ``separators`` are ends, each unlike
+    any other. A boundary of value l - 1 in front of row j, extended backward
+    by symbol c, is the boundary in front of the image of the first c at or
+    behind j, of value l unless it has a lower one. For the symbol of row j
+    that is j itself; for others it is the head of the next run of c, the same
+    for all rows of j's run, so each run is looked up once.
     """
     n = len(bwt)
-    lcp = np.full(n + 1, -1, np.int32)
-    counts = np.bincount(bwt)
+    lcp = np.full(n, -1, np.int32)
+    counts = np.bincount(bwt, minlength=separators)
     first = np.concatenate([[0], np.cumsum(counts)])
-    lcp[:separators] = 0
-    starts = first[separators : len(counts)]
-    lcp[starts[starts < n]] = 0
-    symbols = [c for c in np.flatnonzero(counts) if c >= separators]
-    places = np.argsort(bwt, kind="stable")
-    fresh = np.unique(np.concatenate([np.arange(separators), starts]))
-    fresh = fresh[fresh < n]
+    lcp[: first[separators]] = 0
+    lcp[first[separators:-1][counts[separators:] > 0]] = 0
+    fresh = np.flatnonzero(lcp == 0)
+    image = np.empty(n, np.int64)
+    image[np.argsort(bwt, kind="stable")] = np.arange(n)
+    inner = bwt >= separators
+    heads = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
+    run = np.cumsum(np.concatenate([[0], bwt[1:] != bwt[:-1]]))
+    symbols = np.flatnonzero(counts[separators:]) + separators
+    number = np.full(len(counts), -1, np.int64)
+    number[symbols] = np.arange(len(symbols))
+    code = number[bwt[heads]]
+    mine = np.flatnonzero(code >= 0)
+    keys = code[mine] * len(heads) + mine
+    by = np.argsort(keys)
+    keys, key_head = keys[by], heads[mine[by]]
+    asked = np.zeros(len(heads), bool)
     for value in range(1, depth):
         if not len(fresh):
             break
-        found = []
-        for c in symbols:
-            own = places[first[c] : first[c + 1]]
-            i = np.searchsorted(own, fresh)
-            i = i[i < len(own)]
-            if len(i):
-                j = first[c] + i
-                found.append(j[lcp[j] < 0])
-        if not found:
-            break
-        fresh = np.unique(np.concatenate(found))
-        lcp[fresh] = value
-    return lcp[:n]
+        own = image[fresh[inner[fresh]]]
+        own = own[lcp[own] < 0]
+        lcp[own] = value
+        runs = run[fresh]
+        runs = np.unique(runs[~asked[runs]])
+        asked[runs] = True
+        if len(runs):
+            at = (np.arange(len(symbols))[:, None] * len(heads) + runs[None, :] + 1).ravel()
+            i = np.searchsorted(keys, at)
+            ok = i < len(keys)
+            i, at = i[ok], at[ok]
+            i = i[keys[i] // len(heads) == (at - 1) // len(heads)]
+            other = np.unique(image[key_head[i]])
+            other = other[lcp[other] < 0]
+            lcp[other] = value
+            own = np.concatenate([own, other])
+        fresh = own
+    return lcp
 
 
 def repeated(segments: list[bytes], weights: list[int], min_len: int = MIN_LEN) -> list[np.ndarray]:
@@ -165,15 +178,18 @@ def repeated(segments: list[bytes], weights: list[int], min_len: int = MIN_LEN)
     k = len(segments)
     sizes = np.array([len(s) for s in segments])
     ends = np.cumsum(sizes + 1)
-    text = np.empty(int(ends[-1]), np.int64)
+    data = np.frombuffer(b"".join(segments), np.uint8)
+    used = np.flatnonzero(np.bincount(data, minlength=256))
+    small = np.zeros(256, np.uint8 if len(used) < 256 else np.uint16)
+    small[used] = np.arange(1, len(used) + 1)
+    # Symbol 0 is an end; the transform tells ends apart only by never extending them.
+    text = np.zeros(int(ends[-1]), small.dtype)
     owner = np.repeat(np.arange(k), sizes + 1)
-    text[:] = 0
     inner = np.ones(len(text), bool)
     inner[ends - 1] = False
-    text[inner] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int64) + k
-    text[ends - 1] = np.arange(k)
+    text[inner] = small[data]
     order = suffix_order(text, min_len)
-    lcp = common_prefixes(text[order - 1], k, min_len)
+    lcp = common_prefixes(text[order - 1], 1, min_len)
     group = np.cumsum(lcp >= 0) - 1
     begins = np.concatenate([[0], ends[:-1]])
     place = order - begins[owner[order]]
@@ -205,13 +221,17 @@ def _count(docs: DataFrame) -> tuple[np.ndarray, int]:
         import pyarrow as pa
 
         total = np.zeros(1 << bits, np.int64)
+        held, size = [], 0
         for b in batches:
             for data in _texts(b):
                 for i in range(0, len(data), SLICE):
-                    total += np.bincount((gram_hashes(data[i : i + SLICE + GRAM - 1]) >> np.uint64(shift)).astype(np.int64), minlength=1 << bits) if len(data) > SLICE else 0
-            short = [gram_hashes(x) >> np.uint64(shift) for x in _texts(b) if GRAM <= len(x) <= SLICE]
-            if short:
-                total += np.bincount(np.concatenate(short).astype(np.int64), minlength=1 << bits)
+                    held.append((gram_hashes(data[i : i + SLICE + GRAM - 1]) >> np.uint64(shift)).astype(np.uint32))
+                    size += len(held[-1])
+                    if size > 4 * SLICE:
+                        total += np.bincount(np.concatenate(held), minlength=1 << bits)
+                        held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=1 << bits)
         if total.any():
             yield pa.RecordBatch.from_pydict({"piece": pa.array(range(pieces), pa.int32()), "counts": pa.array([x.tobytes() for x in np.split(total.astype("<u4"), pieces)])})
 
@@ -350,18 +370,23 @@ def _search(segments: DataFrame) -> DataFrame:
 
 
 def _spans(docs: DataFrame) -> str:
-    """Finds all repeated windows; returns the folder of (row, lo, runs) by scan partition."""
+    """Finds all repeated windows; returns the folder of (row, lo, runs, len) by scan partition, runs null for a whole segment."""
     spark = docs.sparkSession
     crowded, shift = _count(docs)
     segs = materialize(_segments(docs, crowded, shift), "segments")
     each = segs.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("part", "row", "lo", "len")).alias("at"))
     from pyspark.sql import Window
 
-    known = each.withColumn("all", F.sum("n").over(Window.partitionBy("anchor"))).where("all > 1")
-    want = _hand_back(known.select("anchor", "seg", "n", "at.*"), "wanted")
-    found = materialize(_search(_fetch(docs, want)), "repeats")
+    by = Window.partitionBy("anchor")
+    known = each.withColumn("all", F.sum("n").over(by)).withColumn("kinds", F.count("*").over(by)).where("all > 1")
+    known = materialize(known.select("anchor", "seg", "n", "kinds", "at.*"), "known")
+    want = _hand_back(known.where("kinds > 1").drop("kinds"), "wanted")
+    # A segment that is alone with its anchor and stands in several places repeats as a whole.
+    alone = known.where("kinds = 1").select("seg", F.lit(None).cast("binary").alias("runs"), "len")
+    found = materialize(_search(_fetch(docs, want)).select("seg", "runs", F.lit(0).alias("len")).union(alone), "repeats")
     remove(spark, want)
-    spans = segs.select("seg", "part", "row", "lo").join(found, "seg").select("part", "row", "lo", "runs")
+    remove(spark, known.scratch_path)
+    spans = segs.select("seg", "part", "row", "lo").join(found, "seg").select("part", "row", "lo", "runs", "len")
     path = _hand_back(spans, "spans")
     remove(spark, segs.scratch_path)
     remove(spark, found.scratch_path)
@@ -372,7 +397,8 @@ def _cut(data: bytes, own: list[tuple]) -> tuple[int, int, bytes]:
     """(bytes removed, removed runs, bytes kept) of a text."""
     if not own:
         return 0, 0, data
-    runs = np.concatenate([np.frombuffer(r, "<i8").reshape(-1, 2) + lo for lo, r in own])
+    whole = np.array([(lo, lo + size - MIN_LEN) for lo, r, size in own if r is None], np.int64).reshape(-1, 2)
+    runs = np.concatenate([whole, *[np.frombuffer(r, "<i8").reshape(-1, 2) + lo for lo, r, _ in own if r is not None]])
     if runs[:, 1].max() + MIN_LEN > len(data):
         raise RuntimeError("the documents changed between two scans")
     runs = runs[np.argsort(runs[:, 0], kind="stable")]
@@ -391,7 +417,7 @@ def _apply(docs: DataFrame, path: str, text: bool) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        own, row = _own(path, TaskContext.get().partitionId(), ["lo", "runs"]), 0
+        own, row = _own(path, TaskContext.get().partitionId(), ["lo", "runs", "len"]), 0
         for b in batches:
             out: list[list] = [[], [], [], []]
             for data in _texts(b):
