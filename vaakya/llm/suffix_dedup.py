@@ -149,27 +149,34 @@ def common_prefixes(bwt: np.ndarray, separators: int, depth: int) -> np.ndarray:
     keys = code[mine] * len(heads) + mine
     by = np.argsort(keys)
     keys, key_head = keys[by], heads[mine[by]]
+    # The row behind the run of the same symbol before; a first run's image is set already.
+    ends = np.concatenate([heads[1:], [n]])
+    since = np.where(np.concatenate([[False], code[mine[by]][1:] == code[mine[by]][:-1]]), ends[mine[by]][np.arange(len(by)) - 1], key_head)
     asked = np.zeros(len(heads), bool)
     for value in range(1, depth):
         if not len(fresh):
             break
         own = image[fresh[inner[fresh]]]
         own = own[lcp[own] < 0]
-        lcp[own] = value
         runs = run[fresh]
         runs = np.unique(runs[~asked[runs]])
         asked[runs] = True
-        if len(runs):
-            at = (np.arange(len(symbols))[:, None] * len(heads) + runs[None, :] + 1).ravel()
+        if len(runs) * len(symbols) > n // 4:
+            # Many runs: count the fresh boundaries behind each head's last equal symbol.
+            upto = np.zeros(n + 1, np.int32)
+            upto[fresh + 1] = 1
+            np.cumsum(upto, out=upto)
+            other = image[key_head[upto[key_head + 1] > upto[since]]]
+        else:
+            at = (np.arange(len(symbols))[:, None] * len(heads) + runs[None, :] + 1)[np.arange(len(symbols))[:, None] != code[runs][None, :]]
             i = np.searchsorted(keys, at)
             ok = i < len(keys)
             i, at = i[ok], at[ok]
-            i = i[keys[i] // len(heads) == (at - 1) // len(heads)]
-            other = np.unique(image[key_head[i]])
-            other = other[lcp[other] < 0]
-            lcp[other] = value
-            own = np.concatenate([own, other])
-        fresh = own
+            other = np.unique(image[key_head[i[keys[i] // len(heads) == (at - 1) // len(heads)]]])
+        lcp[own] = value
+        other = other[lcp[other] < 0]
+        lcp[other] = value
+        fresh = np.concatenate([own, other])
     return lcp
 
 
