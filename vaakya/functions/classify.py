@@ -71,7 +71,7 @@ def classify_word(word: Column, freq: Column | None = None, total: Column | None
         F.when(clean == "", out("incorrect", "high", "empty or punctuation-only"))
         .when(within(clean, L.STOPWORDS), out("correct", "high", "in known Hindi dictionary/stopwords"))
         .when(within(clean, L.VALID_LOANS), out("correct", "high", "valid English word in Devanagari (per transcription guidelines)"))
-        .when(bad != "", out("incorrect", "high", F.concat(F.lit("invalid characters: contains invalid character '"), bad, F.lit("' (U+"), hexed, F.lit(")"))))
+        .when(bad != "", out("incorrect", "high", F.concat(F.lit("invalid characters: non-Devanagari character: '"), bad, F.lit("' (U+"), hexed, F.lit(")"))))
         .when(clean.rlike(r"[\x{093E}-\x{094D}]{3,}"), out("incorrect", "high", "multiple consecutive matras/halants"))
         .when(clean.rlike(r"^[\x{093E}-\x{094D}]"), out("incorrect", "high", "starts with matra/halant"))
         .when((F.length(clean) > 1) & (F.length(clean) <= 15) & much.isNotNull(), out("incorrect", "medium", F.concat(F.lit("character '"), much, F.lit("' repeated excessively"))))
