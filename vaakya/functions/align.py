@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .tokens import literal_map
+from .tokens import let, literal_map
 
 #: Words that chr() can number for the built-in distance.
 _CODES = 223
@@ -17,6 +17,10 @@ def edit_path(ref: Column, hyp: Column) -> Column:
 
     Each cell of the table carries its path, so none is traced back.
     """
+    return let(hyp, lambda h: _path(ref, h))
+
+
+def _path(ref: Column, hyp: Column) -> Column:
     cell = lambda c, p: F.struct(c.cast("int").alias("cost"), p.alias("path"))
     zero = F.array(cell(F.lit(0), F.lit("")))
     row0 = F.aggregate(hyp, zero, lambda acc, _: F.concat(acc, F.array(cell(F.size(acc), F.concat(F.element_at(acc, -1)["path"], F.lit("I"))))))
@@ -43,9 +47,12 @@ def edit_path(ref: Column, hyp: Column) -> Column:
 
 def word_distance(a: Column, b: Column) -> Column:
     """Word edit distance: words numbered as characters for the built-in distance, else by the table."""
-    vocab = F.array_distinct(F.concat(a, b))
-    code = lambda ws: F.array_join(F.transform(ws, lambda w: F.char(F.array_position(vocab, w) + 32)), "")
-    return F.when(F.size(vocab) <= _CODES, F.levenshtein(code(a), code(b))).otherwise(edit_path(a, b)["cost"])
+
+    def counted(x: Column, y: Column, vocab: Column) -> Column:
+        code = lambda ws: F.array_join(F.transform(ws, lambda w: F.char(F.array_position(vocab, w) + 32)), "")
+        return F.when(F.size(vocab) <= _CODES, F.levenshtein(code(x), code(y))).otherwise(edit_path(x, y)["cost"])
+
+    return let(a, lambda x: let(b, lambda y: let(F.array_distinct(F.concat(x, y)), lambda v: counted(x, y, v))))
 
 
 def wer(ref: Column, hyp: Column) -> Column:
@@ -55,12 +62,15 @@ def wer(ref: Column, hyp: Column) -> Column:
 
 def path_ops(path: Column) -> Column:
     """(op, i, j) of a path; i and j are places in reference and hypothesis, null where there is none."""
-    ops = F.split(path, "")
-    count = lambda upto, kinds: F.length(F.regexp_replace(F.substr(path, F.lit(1), upto), f"[^{kinds}]", ""))
-    return F.transform(
-        F.filter(ops, lambda o: o != ""),
-        lambda o, k: F.struct(o.alias("op"), F.when(o != "I", count(k, "MSD")).alias("i"), F.when(o != "D", count(k, "MSI")).alias("j")),
-    )
+
+    def ops(p: Column) -> Column:
+        count = lambda upto, kinds: F.length(F.regexp_replace(F.substr(p, F.lit(1), upto), f"[^{kinds}]", ""))
+        return F.transform(
+            F.filter(F.split(p, ""), lambda o: o != ""),
+            lambda o, k: F.struct(o.alias("op"), F.when(o != "I", count(k, "MSD")).alias("i"), F.when(o != "D", count(k, "MSI")).alias("j")),
+        )
+
+    return let(path, ops)
 
 
 def phonetic_similarity(a: Column, b: Column) -> Column:

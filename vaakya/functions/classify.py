@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .tokens import DANDA, strip, tokens, within
+from .tokens import DANDA, let, strip, tokens, within
 
 _DIGIT = r"[\p{Nd}\x{00B2}\x{00B3}\x{00B9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}]"
 _HALANT = "्"
@@ -20,7 +20,10 @@ def _any(columns: list[Column]) -> Column:
 
 def error_labels(ref: Column, pred: Column) -> Column:
     """The labels of an error, in order."""
-    rw, pw = tokens(ref), tokens(pred)
+    return let(tokens(ref), lambda rw: let(tokens(pred), lambda pw: _labels(ref, pred, rw, pw)))
+
+
+def _labels(ref: Column, pred: Column, rw: Column, pw: Column) -> Column:
     numbers = F.array(*map(F.lit, L.ERROR_NUMBERS))
     has = lambda ws, t: F.arrays_overlap(ws, numbers) | t.rlike(_DIGIT)
     bag = lambda ws: F.array_sort(F.array_distinct(ws))

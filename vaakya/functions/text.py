@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .tokens import DANDA, SPACE, WORD, join, literal_map, nfc, strip, tokens, within
+from .tokens import DANDA, SPACE, WORD, join, let, literal_map, nfc, strip, tokens, within
 
 _WIDE = "decimal(38,0)"
 _VALUES = {**L.UNITS, **L.TENS, **L.COMPOUNDS}
@@ -38,8 +38,11 @@ def parse_number(words: Column) -> Column:
 def number_runs(words: Column) -> Column:
     """(s, e, value) of the maximal runs of number words that have a value; e is behind the last."""
     clean = F.transform(words, lambda w: strip(w, DANDA + ",."))
-    known = F.transform(clean, lambda w: within(w, list(_NUMBERS)))
-    size = F.size(words)
+    return let(clean, lambda c: let(F.transform(c, lambda w: within(w, list(_NUMBERS))), lambda k: _runs(c, k)))
+
+
+def _runs(clean: Column, known: Column) -> Column:
+    size = F.size(known)
     starts = F.filter(
         F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>")),
         lambda i: F.get(known, i) & ((i == 0) | ~F.coalesce(F.get(known, F.greatest(i - 1, F.lit(0))), F.lit(False))),
@@ -55,9 +58,10 @@ def number_runs(words: Column) -> Column:
 
 def normalize_numbers(text: Column, preserve_idioms: bool = True) -> Column:
     """Runs of number words as digits, but for those near an idiom."""
-    words = tokens(text)
-    runs = number_runs(words)
+    return let(tokens(text), lambda words: let(number_runs(words), lambda runs: _replace_runs(text, words, runs, preserve_idioms)))
 
+
+def _replace_runs(text: Column, words: Column, runs: Column, preserve_idioms: bool) -> Column:
     def plain(r: Column) -> Column:
         span = join(F.slice(words, r["s"] + 1, r["e"] - r["s"]))
         at = F.position(span, text) - 1
@@ -65,13 +69,15 @@ def normalize_numbers(text: Column, preserve_idioms: bool = True) -> Column:
         context = F.substr(text, first + 1, at + F.length(span) + 30 - first)
         return (at < 0) | ~F.coalesce(context.rlike(_IDIOM), F.lit(False))
 
-    done = F.filter(runs, plain) if preserve_idioms else runs
+    def replaced(done: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            own = F.get(F.filter(done, lambda r: (r["s"] <= i) & (i < r["e"])), F.lit(0))
+            return let(own, lambda o: F.when(o.isNull(), w).when(o["s"] == i, o["value"].cast("string")))
 
-    def one(w: Column, i: Column) -> Column:
-        own = F.get(F.filter(done, lambda r: (r["s"] <= i) & (i < r["e"])), F.lit(0))
-        return F.when(own.isNull(), w).when(own["s"] == i, own["value"].cast("string"))
+        return join(F.array_compact(F.transform(words, one)))
 
-    return F.when(F.size(runs) == 0, text).otherwise(join(F.array_compact(F.transform(words, one))))
+    done = F.filter(runs, plain) if preserve_idioms else runs
+    return F.when(F.size(runs) == 0, text).otherwise(let(done, replaced))
 
 
 def loan_suffix(word: Column) -> Column:
@@ -89,35 +95,40 @@ def detect_english(text: Column, method: str = "all") -> Column:
 
     ``method`` is ``all``, or one of ``dictionary``, ``suffix`` and ``roman``.
     """
+    return F.filter(F.transform(tokens(text), lambda w, i: _detect(w, i, method)), lambda d: d["method"].isNotNull())
+
+
+def _detect(w: Column, i: Column, method: str) -> Column:
     english = literal_map(L.LOANS)
     on = lambda m: F.lit(method in ("all", m))
 
-    def one(w: Column, i: Column) -> Column:
-        clean = strip(w, _PUNCT)
+    def one(clean: Column) -> Column:
         known = F.try_element_at(english, clean)
         how = F.when(clean == "", None).when(on("dictionary") & known.isNotNull(), "dictionary").when(on("suffix") & loan_suffix(clean), "suffix_pattern").when(on("roman") & roman(clean), "roman_script")
-        return F.struct(
-            clean.alias("word"),
-            w.alias("original"),
-            F.when(how == "dictionary", known).when(how == "roman_script", clean).alias("english_equivalent"),
-            how.alias("method"),
-            i.cast("bigint").alias("position"),
+        return let(
+            how,
+            lambda h: F.struct(
+                clean.alias("word"),
+                w.alias("original"),
+                F.when(h == "dictionary", known).when(h == "roman_script", clean).alias("english_equivalent"),
+                h.alias("method"),
+                i.cast("bigint").alias("position"),
+            ),
         )
 
-    return F.filter(F.transform(tokens(text), one), lambda d: d["method"].isNotNull())
+    return let(strip(w, _PUNCT), one)
 
 
 def tag_english(text: Column, method: str = "all") -> Column:
     """Wraps each detected word's core in [EN] and [/EN]."""
-    found = detect_english(text, method)
 
-    def one(w: Column, i: Column) -> Column:
-        own = F.get(F.filter(found, lambda d: d["position"] == i), F.lit(0))
-        at = F.position(own["word"], w)
-        tagged = F.concat(F.substr(w, F.lit(1), at - 1), F.lit("[EN]"), own["word"], F.lit("[/EN]"), F.substr(w, at + F.length(own["word"])))
-        return F.when(own.isNull(), w).otherwise(tagged)
+    def tagged(d: Column) -> Column:
+        w, core = d["original"], d["word"]
+        at = F.position(core, w)
+        return F.when(d["method"].isNull(), w).otherwise(F.concat(F.substr(w, F.lit(1), at - 1), F.lit("[EN]"), core, F.lit("[/EN]"), F.substr(w, at + F.length(core))))
 
-    return F.when(F.size(found) == 0, text).otherwise(join(F.transform(tokens(text), one)))
+    every = F.transform(tokens(text), lambda w, i: _detect(w, i, method))
+    return let(every, lambda ds: F.when(F.exists(ds, lambda d: d["method"].isNotNull()), join(F.transform(ds, tagged))).otherwise(text))
 
 
 def strip_tags(text: Column) -> Column:
@@ -127,18 +138,19 @@ def strip_tags(text: Column) -> Column:
 
 def cleanup(text: Column, numbers: bool = True, english: bool = True) -> Column:
     """(original, steps, cleaned, num_changes): numbers, then tags; the tagging step is always logged."""
-    after = normalize_numbers(text) if numbers else text
-    final = tag_english(after) if english else after
     kind = "array<struct<step:string,before:string,after:string,english_words:array<string>>>"
-    steps = []
-    if numbers:
-        steps.append(F.when(after != text, F.struct(F.lit("number_normalization").alias("step"), text.alias("before"), after.alias("after"), F.lit(None).cast("array<string>").alias("english_words"))))
-    if english:
-        words = F.transform(detect_english(after), lambda d: d["word"])
-        steps.append(F.struct(F.lit("english_detection").alias("step"), after.alias("before"), final.alias("after"), words.alias("english_words")))
-    log = F.array_compact(F.array(*steps)) if steps else F.array()
-    log = log.cast(kind)
-    return F.struct(text.alias("original"), log.alias("steps"), final.alias("cleaned"), F.size(log).alias("num_changes"))
+
+    def logged(after: Column, final: Column) -> Column:
+        steps = []
+        if numbers:
+            steps.append(F.when(after != text, F.struct(F.lit("number_normalization").alias("step"), text.alias("before"), after.alias("after"), F.lit(None).cast("array<string>").alias("english_words"))))
+        if english:
+            words = F.transform(detect_english(after), lambda d: d["word"])
+            steps.append(F.struct(F.lit("english_detection").alias("step"), after.alias("before"), final.alias("after"), words.alias("english_words")))
+        log = (F.array_compact(F.array(*steps)) if steps else F.array()).cast(kind)
+        return let(log, lambda x: F.struct(text.alias("original"), x.alias("steps"), final.alias("cleaned"), F.size(x).alias("num_changes")))
+
+    return let(normalize_numbers(text) if numbers else text, lambda after: let(tag_english(after) if english else after, lambda final: logged(after, final)))
 
 
 def clean_text(text: Column) -> Column:
@@ -146,9 +158,9 @@ def clean_text(text: Column) -> Column:
     return join(tokens(F.translate(nfc(text), "\u200b\u200c\u200d", "")))
 
 
-def normalize(text: Column, variants: bool = True, nukta: bool = False) -> Column:
-    """Punctuation, white space and spelling variants made uniform."""
-    t = F.translate(nfc(text), "\u200b\u200c\u200d", "")
+def normalize(text: Column, variants: bool = True, nukta: bool = False, compose: bool = True) -> Column:
+    """Punctuation, white space and spelling variants made uniform; ``compose=False`` for texts in composed form."""
+    t = F.translate(nfc(text) if compose else text, "\u200b\u200c\u200d", "")
     t = F.regexp_replace(F.replace(t, F.lit("|"), F.lit(DANDA)), r"\.{2,}", DANDA)
     t = strip(join(tokens(t)), " " + DANDA + ",.")
     for on, table in ((variants, L.VARIANTS), (nukta, L.NUKTA)):
@@ -161,7 +173,9 @@ def drop_repeated_ngrams(words: Column, n: int) -> Column:
     """Drops an n-gram that repeats the one before it: a word is pushed, and an n-gram that repeats is popped."""
 
     def push(acc: Column, w: Column) -> Column:
-        new = F.concat(acc, F.array(w))
+        return let(F.concat(acc, F.array(w)), popped)
+
+    def popped(new: Column) -> Column:
         size = F.size(new)
         twice = (size >= 2 * n) & (F.slice(new, F.greatest(size - n + 1, F.lit(1)), F.lit(n)) == F.slice(new, F.greatest(size - 2 * n + 1, F.lit(1)), F.lit(n)))
         return F.when(twice, F.slice(new, F.lit(1), F.greatest(size - n, F.lit(0)))).otherwise(new)
@@ -171,12 +185,15 @@ def drop_repeated_ngrams(words: Column, n: int) -> Column:
 
 def suppress_repetitions(text: Column, ngrams: tuple[int, ...] = (2, 3)) -> Column:
     """Drops repeated words and n-grams unless an intended repetition is in the text."""
-    words = tokens(text)
-    once = F.filter(words, lambda w, i: (i == 0) | (w != F.get(words, F.greatest(i - 1, F.lit(0)))))
-    for n in ngrams:
-        once = drop_repeated_ngrams(once, n)
+
+    def dropped(words: Column) -> Column:
+        once = F.filter(words, lambda w, i: (i == 0) | (w != F.get(words, F.greatest(i - 1, F.lit(0)))))
+        for n in ngrams:
+            once = drop_repeated_ngrams(once, n)
+        return F.when(F.size(words) <= 1, text).otherwise(join(once))
+
     meant = reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in L.INTENDED])
-    return F.when((F.size(words) <= 1) | meant, text).otherwise(join(once))
+    return F.when(meant, text).otherwise(let(tokens(text), dropped))
 
 
 def resolve_confusions(text: Column, freq: Column) -> Column:
@@ -197,6 +214,10 @@ def resolve_confusions(text: Column, freq: Column) -> Column:
     return join(F.transform(tokens(text), one))
 
 
-def fix(text: Column, freq: Column) -> Column:
-    """Normalised, without repetitions, confusions resolved."""
-    return resolve_confusions(suppress_repetitions(normalize(text)), freq)
+def fix(text: Column, freq: Column, compose: bool = True) -> Column:
+    """Normalised, without repetitions, confusions resolved.
+
+    Composing is a UDF, which higher-order functions cannot hold: store
+    ``nfc(text)`` first and pass ``compose=False`` where texts need it.
+    """
+    return resolve_confusions(suppress_repetitions(normalize(text, compose=compose)), freq)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +20,11 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.filter(F.split(text, SPACE + "+"), lambda t: t != ""), F.array().cast("array<string>"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def join(words: Column) -> Column:
     """Tokens with one space between."""
     return F.array_join(words, " ")

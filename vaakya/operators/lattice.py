@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import align
-from ..functions.tokens import tokens
+from ..functions.tokens import let, tokens
 
 
 def aligned_row(ref: Column, hyp: Column) -> Column:
     """The words of an output by column of the reference; insertions take columns, and the row ends with the reference."""
-    ops = align.path_ops(align.edit_path(ref, hyp)["path"])
-    words = F.transform(ops, lambda o: F.when(o["op"] != "D", F.get(hyp, o["j"])))
+    ops = lambda h: align.path_ops(align.edit_path(ref, h)["path"])
+    words = let(hyp, lambda h: F.transform(ops(h), lambda o: F.when(o["op"] != "D", F.get(h, o["j"]))))
     return F.slice(words, F.lit(1), F.size(ref))
 
 
@@ -57,7 +57,7 @@ def lattice_bins(matrix: DataFrame, models: int = 5, threshold: int = 3, weights
         return x.withField("conf", F.when(F.coalesce(over, F.lit(False)), raised).otherwise(x["conf"]))
 
     bins = bins.select("utt_id", "pos", F.transform("b", settle).alias("b"))
-    best = F.array_max(F.transform("b", lambda x: F.struct(x["conf"].alias("c"), x["is_ref"].alias("r"), (-x["first"]).alias("f"), x["word"].alias("w"))))["w"]
+    best = F.array_max(F.transform("b", lambda x: F.struct(x["conf"].alias("c"), x["is_ref"].alias("r"), (-x["first"]).alias("f"), x["word"])))["word"]
     return bins.select("utt_id", "pos", best.alias("best"), F.explode("b").alias("x")).select("utt_id", "pos", "x.word", "x.votes", F.col("x.conf").alias("confidence"), (F.col("x.word") == F.col("best")).alias("is_best"))
 
 

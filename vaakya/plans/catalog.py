@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import align, classify, text
-from ..functions.tokens import strip, tokens
+from ..functions.tokens import let, strip, tokens
 from ..operators import lattice, transcripts
 from ..sources import files
 from .utterances import WORDS, utterances
@@ -83,7 +83,7 @@ md5(case when len(w) <= 1 then text else array_to_string(list_filter(w, lambda t
 def repetition_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without adjacent repetitions."""
     w = tokens(F.col("text"))
-    kept = F.filter(w, lambda t, i: (i == 0) | (t != F.get(w, F.greatest(i - 1, F.lit(0)))))
+    kept = let(w, lambda x: F.filter(x, lambda t, i: (i == 0) | (t != F.get(x, F.greatest(i - 1, F.lit(0))))))
     return _read(spark, sf_dir, "documents").select("doc_id", F.size(w).cast("bigint").alias("n_words"), F.size(kept).cast("bigint").alias("n_kept"), F.md5(text.suppress_repetitions(F.col("text"), ()).cast("binary")).alias("kept_md5"))
 
 
@@ -133,8 +133,12 @@ def severity_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_PAIRS + """, e as (select *, case when wer <= 0.33 then 'low' when wer <= 0.66 then 'medium' else 'high' end as severity from rates where wer > 0),
 r as (select *, row_number() over (partition by severity order by wer, utt_id, model_id) - 1 as i, greatest(1, count(*) over (partition by severity) // 8) as step from e),
-f as (select *, row_number() over (order by case severity when 'low' then 0 when 'medium' then 1 else 2 end, wer, utt_id, model_id) as place from r where i % step = 0)
-select utt_id, model_id, round(wer, 9) as wer, severity, place from f where place <= 25""")
+f as (select *, row_number() over (order by case severity when 'low' then 0 when 'medium' then 1 else 2 end, wer, utt_id, model_id) as place from r where i % step = 0),
+taken as (select count(*) as t from f where place <= 30),
+every as (select *, row_number() over (order by wer, utt_id, model_id) - 1 as i, count(*) over () as n from rates where wer > 0),
+more as (select *, greatest(1, n // (25 - t)) as step from every, taken where t < 25),
+refill as (select utt_id, model_id, wer, 'medium' as severity, t + i // step + 1 as place from more where i % step = 0)
+select utt_id, model_id, round(wer, 9) as wer, severity, place from (select utt_id, model_id, wer, severity, place from f where place <= 30 union all select * from refill) where place <= 25""")
 def severity_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stratified sample of errors."""
     return transcripts.sample_errors(_rates(spark, sf_dir)).select("utt_id", "model_id", F.round("wer", 9).alias("wer"), "severity", "place")
@@ -191,7 +195,7 @@ def fix_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs improved, unchanged and degraded by the repairs, by model."""
     rows = transcripts.unpivot_models(utterances(spark, sf_dir))
     freq = F.create_map(*[x for i, w in enumerate(dict.fromkeys(WORDS)) for x in (F.lit(w), F.lit(i + 1).cast("bigint"))])
-    norm = rows.select("model_id", text.normalize(F.col("reference")).alias("r"), text.normalize(F.col("prediction")).alias("o"), text.fix(F.col("prediction"), freq).alias("f"))
+    norm = rows.select("model_id", text.normalize(F.col("reference"), compose=False).alias("r"), text.normalize(F.col("prediction"), compose=False).alias("o"), text.fix(F.col("prediction"), freq, compose=False).alias("f"))
     w = norm.select("model_id", align.wer(tokens(F.col("r")), tokens(F.col("o"))).alias("a"), align.wer(tokens(F.col("r")), tokens(F.col("f"))).alias("b"))
     return w.groupBy("model_id").agg(F.count_if(F.col("b") < F.col("a")).alias("improved"), F.count_if(F.col("b") == F.col("a")).alias("unchanged"), F.count_if(F.col("b") > F.col("a")).alias("degraded"))
 
