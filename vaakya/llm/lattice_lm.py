@@ -21,6 +21,7 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from math import exp, log
@@ -37,7 +38,9 @@ FREQUENT = 500_000
 SPACE = "▁"
 END = 0
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_MAX_WORDS = 300_000
+_MAX_WORDS = 600_000
+#: A worker's lattice and the words it has scored, by model, kept from task to task.
+_WORKER: dict = {}
 
 
 def cut(text: str | None) -> list[bytes]:
@@ -63,7 +66,8 @@ class Lattice:
 
     def __init__(self, pieces: list[str], probs: np.ndarray):
         self.pieces, self.index = pieces, {p: i for i, p in enumerate(pieces)}
-        self.longest = max(map(len, pieces), default=1)
+        # Every beginning of a piece, with the piece's number or -1: where none goes on, neither do longer ones.
+        self.starts = {p[:i]: -1 for p in pieces for i in range(1, len(p))} | self.index
         self.prob = probs / probs.sum()
         self.logs = np.log(self.prob).tolist()
         self.byte = [self.index.get(f"<0x{b:02X}>") for b in range(256)]
@@ -83,13 +87,15 @@ class Lattice:
     def arcs(self, s: str) -> list[list[tuple[int, float, tuple]]]:
         """For each place, the arcs that end there: (start, log probability, pieces)."""
         out: list[list] = [[] for _ in range(len(s) + 1)]
-        get, logs, longest = self.index.get, self.logs, self.longest
-        for i in range(len(s)):
-            for j in range(i + 1, min(len(s), i + longest) + 1):
+        get, logs, n = self.starts.get, self.logs, len(s)
+        for i in range(n):
+            for j in range(i + 1, n + 1):
                 k = get(s[i:j])
-                if k is not None:
+                if k is None:
+                    break
+                if k >= 0:
                     out[j].append((i, logs[k], (k,)))
-            if get(s[i]) is None:
+            if s[i] not in self.index:
                 ks = tuple(self.byte[b] for b in s[i].encode("utf-8", "surrogatepass"))
                 out[i + 1].append((i, sum(logs[k] for k in ks), ks))
         return out
@@ -106,7 +112,29 @@ class Lattice:
 
     def marginal(self, word: str) -> float:
         """Natural log of the probability of a word, over all its segmentations."""
-        return self.forward(SPACE + word)[-1]
+        s = SPACE + word
+        get, logs, index, n = self.starts.get, self.logs, self.index, len(s)
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        f = 0.0
+        for i in range(n):
+            if i:
+                terms = into[i]
+                if not terms:
+                    continue
+                f = terms[0]
+                if len(terms) > 1:
+                    f = max(terms)
+                    f += log(sum([exp(x - f) for x in terms]))
+            for j in range(i + 1, n + 1):
+                k = get(s[i:j])
+                if k is None:
+                    break
+                if k >= 0:
+                    into[j].append(f + logs[k])
+            if s[i] not in index:
+                into[i + 1].append(f + sum([logs[self.byte[b]] for b in s[i].encode("utf-8", "surrogatepass")]))
+        top = max(into[n])
+        return top + log(sum([exp(x - top) for x in into[n]]))
 
     def expect(self, word: str, count: float, into: np.ndarray) -> None:
         """Adds the expected number of each piece in ``count`` such words."""
@@ -188,7 +216,7 @@ def train(docs: DataFrame, path: str, frequent: int = FREQUENT) -> tuple[DataFra
     top = counts.where((F.col("c") >= least) | (F.col("h") == END)).select("h", "c").collect() if n else []  # frequent + 1 rows at most
     h = np.array([r[0] for r in top] or [], np.int64)
     order = np.argsort(h)
-    return counts, {"n": n, "v": v, "beta": min(0.5, max(once / max(n, 1), 1e-4)), "least": least, "h": h[order], "c": np.array([r[1] for r in top] or [], np.int64)[order], "pieces": first.pieces, "soft": soft}
+    return counts, {"name": uuid.uuid4().hex, "n": n, "v": v, "beta": min(0.5, max(once / max(n, 1), 1e-4)), "least": least, "h": h[order], "c": np.array([r[1] for r in top] or [], np.int64)[order], "pieces": first.pieces, "soft": soft}
 
 
 def score(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
@@ -206,7 +234,10 @@ def score(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
         from pyspark import TaskContext
 
         m = share.value
-        lattice, known = Lattice(m["pieces"], m["soft"]), {}
+        if m["name"] not in _WORKER:
+            _WORKER.clear()
+            _WORKER[m["name"]] = (Lattice(m["pieces"], m["soft"]), {})
+        lattice, known = _WORKER[m["name"]]
         row = TaskContext.get().partitionId() << 33
 
         def learn(words: list[bytes]) -> None:

@@ -21,6 +21,7 @@ are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -74,6 +75,12 @@ class Shingler:
         return out
 
 
+@lru_cache(2)
+def worker_shingler(k: int) -> Shingler:
+    """The shingler of this Python worker, kept from task to task."""
+    return Shingler(k)
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """A row of SIG 32-bit minima for each set; sets must not be empty."""
     rng = np.random.default_rng(20)
@@ -95,7 +102,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        sh = Shingler(k)
+        sh = worker_shingler(k)
         for b in batches:
             sets = sh.sets(b.column(1).to_pylist())
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -180,7 +187,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        sh, at, first = Shingler(k), None, []
+        sh, at, first = worker_shingler(k), None, []
         for b in batches:
             u, v = [], []
             for blk, doc, side, s in zip(b.column("blk").to_pylist(), b.column("doc").to_pylist(), b.column("side").to_pylist(), sh.sets(b.column("text").to_pylist()), strict=True):

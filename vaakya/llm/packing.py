@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_rows, materialize, table
-from .tokens import Encoder
+from .tokens import worker_encoder
 
 SEQ_LEN = 2048
 END_ID = 0
@@ -148,7 +148,7 @@ def pieces(docs: DataFrame, seq_len: int = SEQ_LEN, keep_ids: bool = False) -> D
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, part = Encoder(), TaskContext.get().partitionId()
+        enc, part = worker_encoder(), TaskContext.get().partitionId()
         seen = np.zeros(seq_len + 1, np.int64)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:

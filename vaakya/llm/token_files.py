@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, scratch, table
-from .tokens import Encoder
+from .tokens import worker_encoder
 
 MAGIC = b"VAAKDAC1"
 END_ID = 2
@@ -145,7 +145,7 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID) -> list[tuple]:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, task = Encoder(), TaskContext.get()
+        enc, task = worker_encoder(), TaskContext.get()
         doc_ids: list[int | None] = []
         ids: list[bytes] = []
         end = np.array([end_id], "<u4").tobytes()

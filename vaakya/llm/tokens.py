@@ -10,6 +10,7 @@ spaces, a special token's string) are encoded whole.
 from __future__ import annotations
 
 import sys
+from functools import lru_cache
 
 VOCAB = "byte_bpe_50k.json"
 #: The vocabulary's only special token.
@@ -101,3 +102,9 @@ class Encoder:
         long = dict(zip(whole, self._whole([texts[i] for i in whole]), strict=True)) if whole else {}
         get = self.known.__getitem__
         return [long[i] if ps is None else head[ps[0]] + b"".join(map(get, ps[1:])) if ps else b"" for i, ps in enumerate(cut)]
+
+
+@lru_cache(1)
+def worker_encoder() -> Encoder:
+    """The encoder of this Python worker, kept from task to task."""
+    return Encoder()
