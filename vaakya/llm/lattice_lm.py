@@ -155,6 +155,14 @@ class Lattice:
                 b[i] = top + log(1 + exp(low - top)) if top - low < 40 else top
 
 
+def worker_state(name: str, pieces: list[str], soft: np.ndarray) -> tuple[Lattice, dict]:
+    """The lattice and known words of this Python worker; a function of the module, so that tasks share them."""
+    if name not in _WORKER:
+        _WORKER.clear()
+        _WORKER[name] = (Lattice(pieces, soft), {})
+    return _WORKER[name]
+
+
 def _count(docs: DataFrame) -> DataFrame:
     """(h, word, c): training counts; the end token has h = END."""
 
@@ -234,10 +242,7 @@ def score(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
         from pyspark import TaskContext
 
         m = share.value
-        if m["name"] not in _WORKER:
-            _WORKER.clear()
-            _WORKER[m["name"]] = (Lattice(m["pieces"], m["soft"]), {})
-        lattice, known = _WORKER[m["name"]]
+        lattice, known = worker_state(m["name"], m["pieces"], m["soft"])
         row = TaskContext.get().partitionId() << 33
 
         def learn(words: list[bytes]) -> None:
