@@ -31,10 +31,14 @@ from .common import arrow_rows, table
 BITS = 20
 GRADES = 3
 MAX_LABELLED = 20_000
-MIN_DOCS = 4
+MIN_DOCS = 3
+#: Standard deviations that a word's share of bad ratings must be off.
+APART = 3.5
+#: Places at the end kept for shape features.
+SHAPES = 4096
 STEPS = 150
 #: Penalty on squared weights, per labelled row.
-RIDGE = 2e-4
+RIDGE = 5e-5
 KEEP = 0.5
 _STRIP = ".,;:!?\"'()[]{}<>*%$#&|"
 _MAX_WORDS = 400_000
@@ -49,19 +53,22 @@ class Features:
     def _hash(self, name: str) -> int:
         import xxhash
 
-        return xxhash.xxh3_64_intdigest(name) >> (64 - BITS)
+        h = xxhash.xxh3_64_intdigest(name)
+        size = 1 << BITS
+        return size - SHAPES + h % SHAPES if name[:1] == "\0" else h % (size - SHAPES)
 
     def _shape(self, text: str, words: list[str], distinct: int) -> list[str]:
         n = max(len(text), 1)
-        letters = sum(map(str.isalpha, text[:0])) or len(re.findall(r"[^\W\d_]", text))
+        letters = len(re.findall(r"[^\W\d_]", text))
         upper = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
         marks = len(re.findall(r"[!|*%$#&]", text))
         digits = len(re.findall(r"\d", text))
+        level = lambda part, whole: (1000 * part // max(whole, 1)).bit_length()
         bins = {
-            "upper": 20 * upper // max(letters, 1),
-            "marks": 40 * marks // n,
-            "digits": 20 * digits // n,
-            "letters": 20 * letters // n,
+            "upper": level(upper, letters),
+            "marks": level(marks, n),
+            "digits": level(digits, n),
+            "other": level(n - letters, n),
             "distinct": 10 * distinct // max(len(words), 1),
             "words": len(words).bit_length(),
         }
@@ -110,8 +117,11 @@ def fit(sets: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> Model
         return Model(np.zeros(size, np.float32), np.full(GRADES - 1, -40.0))
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    often = np.bincount(flat, minlength=size) >= min(MIN_DOCS, len(sets))
-    kept = often[flat]
+    # Words are kept if they go with bad or good ratings more than chance allows; shapes always.
+    bad = np.asarray(grades) < GRADES - 1
+    seen, with_bad, p0 = np.bincount(flat, minlength=size), np.bincount(flat, bad[owner], size), np.clip(bad.mean(), 1e-6, 1 - 1e-6)
+    away = np.abs(with_bad - seen * p0) / np.sqrt(np.maximum(seen * p0 * (1 - p0), 1e-9))
+    kept = ((seen >= min(MIN_DOCS, len(sets))) & (away >= APART))[flat] | (flat >= size - SHAPES)
     used, flat = np.unique(flat[kept], return_inverse=True)
     owner = owner[kept]
     n, y = len(sets), np.asarray(grades)
