@@ -128,7 +128,7 @@ def audit(index: DataFrame, path: str, replicas: tuple[str, str] = REPLICAS) ->
             for shard, replica, offsets in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
                 name, data = f"{root}/{replica}/{shard}", b""
                 if fs.get_file_info(name).type == pafs.FileType.File:
-                    with fs.open_input_stream(name) as f:
+                    with fs.open_input_stream(name, compression=None) as f:
                         data = f.read()
                 leaves = leaf_hashes(data, offsets)
                 plain = b"".join(hashlib.sha256(data[x:y]).digest() for x, y in zip(offsets[:-1], offsets[1:], strict=True))
