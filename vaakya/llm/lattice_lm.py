@@ -24,7 +24,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from math import exp, log
+from math import exp, log, log1p, prod
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +38,10 @@ FREQUENT = 500_000
 SPACE = "▁"
 END = 0
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_MAX_WORDS = 600_000
-#: A worker's lattice and the words it has scored, by model, kept from task to task.
+#: Distinct words that a task counts before it hands them on.
+_COUNT_WORDS = 200_000
+#: A worker's lattice and the frequent words it has scored, by model, kept from task to task.
+_KNOWN_WORDS = 300_000
 _WORKER: dict = {}
 
 
@@ -69,7 +71,7 @@ class Lattice:
         # Every beginning of a piece, with the piece's number or -1: where none goes on, neither do longer ones.
         self.starts = {p[:i]: -1 for p in pieces for i in range(1, len(p))} | self.index
         self.prob = probs / probs.sum()
-        self.logs = np.log(self.prob).tolist()
+        self.logs, self.plain = np.log(self.prob).tolist(), self.prob.tolist()
         self.byte = [self.index.get(f"<0x{b:02X}>") for b in range(256)]
 
     @classmethod
@@ -113,7 +115,7 @@ class Lattice:
     def marginal(self, word: str) -> float:
         """Natural log of the probability of a word, over all its segmentations."""
         s = SPACE + word
-        get, logs, index, n = self.starts.get, self.logs, self.index, len(s)
+        get, logs, n = self.starts.get, self.logs, len(s)
         into: list[list[float]] = [[] for _ in range(n + 1)]
         f = 0.0
         for i in range(n):
@@ -122,23 +124,67 @@ class Lattice:
                 if not terms:
                     continue
                 f = terms[0]
-                if len(terms) > 1:
+                if len(terms) == 2:
+                    d = terms[1] - f
+                    f += log1p(exp(d)) if d < 0 else d + log1p(exp(-d))
+                elif len(terms) > 2:
                     f = max(terms)
                     f += log(sum([exp(x - f) for x in terms]))
-            for j in range(i + 1, n + 1):
+            k = get(s[i])
+            if k is None or k < 0:
+                into[i + 1].append(f + sum([logs[self.byte[b]] for b in s[i].encode("utf-8", "surrogatepass")]))
+                if k is None:
+                    continue
+            else:
+                into[i + 1].append(f + logs[k])
+            for j in range(i + 2, n + 1):
                 k = get(s[i:j])
                 if k is None:
                     break
                 if k >= 0:
                     into[j].append(f + logs[k])
-            if s[i] not in index:
-                into[i + 1].append(f + sum([logs[self.byte[b]] for b in s[i].encode("utf-8", "surrogatepass")]))
         top = max(into[n])
         return top + log(sum([exp(x - top) for x in into[n]]))
 
     def expect(self, word: str, count: float, into: np.ndarray) -> None:
-        """Adds the expected number of each piece in ``count`` such words."""
+        """Adds the expected number of each piece in ``count`` such words; in log space where plain products vanish."""
         s = SPACE + word
+        get, plain, n = self.starts.get, self.plain, len(s)
+        f, b, seen = [1.0] + [0.0] * n, [0.0] * n + [1.0], []
+        for i in range(n):
+            here = f[i]
+            k = get(s[i])
+            if k is None or k < 0:
+                ks = tuple([self.byte[x] for x in s[i].encode("utf-8", "surrogatepass")])
+                p = prod([plain[x] for x in ks])
+                f[i + 1] += here * p
+                seen.append((i, i + 1, p, ks))
+                if k is None:
+                    continue
+            else:
+                p = plain[k]
+                f[i + 1] += here * p
+                seen.append((i, i + 1, p, k))
+            for j in range(i + 2, n + 1):
+                k = get(s[i:j])
+                if k is None:
+                    break
+                if k >= 0:
+                    p = plain[k]
+                    f[j] += here * p
+                    seen.append((i, j, p, k))
+        if f[n] > 1e-200:
+            scale = count / f[n]
+            for i, j, p, ks in reversed(seen):
+                x = p * b[j]
+                b[i] += x
+                x *= f[i] * scale
+                if type(ks) is int:
+                    into[ks] += x
+                else:
+                    for k in ks:
+                        into[k] += x
+            return
         arcs = self.arcs(s)
         f = self.forward(s, arcs)
         b = [-1e300] * len(s) + [0.0]
@@ -183,7 +229,7 @@ def _count(docs: DataFrame) -> DataFrame:
                 if not held_out(doc):
                     counts.update(cut(text))
                     ends += 1
-            if len(counts) > _MAX_WORDS:
+            if len(counts) > _COUNT_WORDS:
                 yield rows(counts, ends)
                 counts, ends = Counter(), 0
         if ends:
@@ -204,10 +250,11 @@ def train(docs: DataFrame, path: str, frequent: int = FREQUENT) -> tuple[DataFra
     def step(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        lattice, into = share.value, np.zeros(len(share.value.pieces))
+        lattice, into = share.value, [0.0] * len(share.value.pieces)
         for b in batches:
             for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 lattice.expect(w.decode("utf-8", "surrogatepass"), c, into)
+        into = np.array(into)
         hit = np.flatnonzero(into)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(into[hit])], names=["piece", "e"])
 
@@ -245,7 +292,9 @@ def score(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
         lattice, known = worker_state(m["name"], m["pieces"], m["soft"])
         row = TaskContext.get().partitionId() << 33
 
-        def learn(words: list[bytes]) -> None:
+        def learn(words: list[bytes]) -> dict:
+            """Adds frequent words to the known ones and returns the others."""
+            others = {}
             hs = np.array([word_hash(w) for w in words], np.int64)
             at = np.minimum(np.searchsorted(m["h"], hs), max(len(m["h"]) - 1, 0))
             cs = np.where(m["h"][at] == hs, m["c"][at], 0) if len(m["h"]) else np.zeros(len(hs), np.int64)
@@ -256,22 +305,22 @@ def score(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
                     a, b = log((1 - beta) * c / n), log(beta) + inner
                     known[w] = (log((c + 0.1) / (n + 0.1 * (v + 1))), max(a, b) + log(1 + exp(-abs(a - b))), None)
                 else:
-                    known[w] = (0.0, inner, h)
+                    others[w] = (0.0, inner, h)
+            return others
 
         end = int(m["c"][np.searchsorted(m["h"], END)]) if n else 0
         end_base = log((end + 0.1) / (n + 0.1 * (v + 1)))
         end_full = log((1 - beta) * end / n) if end else log(beta)
         for b in batches:
             ids, cutd = b.column(0).to_pylist(), [cut(t) for t in b.column(1).to_pylist()]
-            if len(known) > _MAX_WORDS:
+            if len(known) > _KNOWN_WORDS:
                 known.clear()
-            if new := list(set().union(*cutd).difference(known)):
-                learn(new)
+            others = learn(list(set().union(*cutd).difference(known)))
             out: list[list] = [[] for _ in range(10)]
             for doc, words in zip(ids, cutd, strict=True):
                 base, full, hits, rare = end_base, end_full, int(end > 0), []
                 for w, times in Counter(words).items():
-                    x, y, h = known[w]
+                    x, y, h = known.get(w) or others[w]
                     if h is None:
                         base += times * x
                         full += times * y
