@@ -164,8 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
             sets = [s.astype("<i4").tobytes() for s in f.of(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["grade", "ids"])
 
-    picked = docs.join(F.broadcast(some), docs["doc_id"].cast("long") == some["_id"]).select("_grade", "text", F.col("doc_id").alias("d"))
-    rows = picked.orderBy("d", "_grade", "text").limit(limit).select("_grade", "text").mapInArrow(run, "grade int, ids binary").collect()  # at most limit rows
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    rows = texts.join(F.broadcast(some), "_id").orderBy("_id", "_grade", "text").limit(limit).select("_grade", "text").mapInArrow(run, "grade int, ids binary").collect()  # at most limit rows
     return fit([np.frombuffer(r["ids"], "<i4").astype(np.int64) for r in rows], np.array([r["grade"] for r in rows], int))
 
 

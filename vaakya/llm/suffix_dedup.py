@@ -400,10 +400,10 @@ def _spans(docs: DataFrame) -> str:
     return path
 
 
-def _cut(data: bytes, own: list[tuple]) -> tuple[int, int, bytes]:
-    """(bytes removed, removed runs, bytes kept) of a text."""
+def _cut(data: bytes, own: list[tuple]) -> tuple[int, int, list[bytes]]:
+    """(bytes removed, removed runs, parts kept) of a text."""
     if not own:
-        return 0, 0, data
+        return 0, 0, [data]
     whole = np.array([(lo, lo + size - MIN_LEN) for lo, r, size in own if r is None], np.int64).reshape(-1, 2)
     runs = np.concatenate([whole, *[np.frombuffer(r, "<i8").reshape(-1, 2) + lo for lo, r, _ in own if r is not None]])
     if runs[:, 1].max() + MIN_LEN > len(data):
@@ -413,7 +413,7 @@ def _cut(data: bytes, own: list[tuple]) -> tuple[int, int, bytes]:
     new = np.concatenate([[True], a[1:] > b[:-1]])
     a, b = a[new], b[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(b) - 1]])]
     kept = [data[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True)]
-    return int((b - a).sum()), len(a), b"".join(kept)
+    return int((b - a).sum()), len(a), kept
 
 
 def _apply(docs: DataFrame, path: str, text: bool) -> DataFrame:
@@ -433,9 +433,10 @@ def _apply(docs: DataFrame, path: str, text: bool) -> DataFrame:
                     c.append(v)
                 row += 1
             if text:
-                tail = [x.decode("utf-8", "ignore") for x in out[3]]
+                # Each part by itself, so that halves of two characters never make a third.
+                tail = ["".join([x.decode("utf-8", "ignore") for x in parts]) for parts in out[3]]
             else:
-                tail = [hashlib.sha256(x).hexdigest() for x in out[3]]
+                tail = [hashlib.sha256(b"".join(parts)).hexdigest() for parts in out[3]]
             cols = [b.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(tail, pa.string()), *[b.column(i) for i in range(2, b.num_columns)]]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", last.split()[0], *b.schema.names[2:]])
 
