@@ -42,6 +42,8 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _COUNT_WORDS = 200_000
 #: A worker's lattice and the frequent words it has scored, by model, kept from task to task.
 _KNOWN_WORDS = 300_000
+#: Other words it keeps at once; they are many and seldom come again.
+_OTHER_WORDS = 150_000
 _WORKER: dict = {}
 
 
@@ -201,11 +203,11 @@ class Lattice:
                 b[i] = top + log(1 + exp(low - top)) if top - low < 40 else top
 
 
-def worker_state(name: str, pieces: list[str], soft: np.ndarray) -> tuple[Lattice, dict]:
-    """The lattice and known words of this Python worker; a function of the module, so that tasks share them."""
+def worker_state(name: str, pieces: list[str], soft: np.ndarray) -> tuple[Lattice, dict, dict]:
+    """The lattice, frequent words and other words of this Python worker; a function of the module, so that tasks share them."""
     if name not in _WORKER:
         _WORKER.clear()
-        _WORKER[name] = (Lattice(pieces, soft), {})
+        _WORKER[name] = (Lattice(pieces, soft), {}, {})
     return _WORKER[name]
 
 
@@ -289,12 +291,10 @@ def score(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
         from pyspark import TaskContext
 
         m = share.value
-        lattice, known = worker_state(m["name"], m["pieces"], m["soft"])
+        lattice, known, others = worker_state(m["name"], m["pieces"], m["soft"])
         row = TaskContext.get().partitionId() << 33
 
-        def learn(words: list[bytes]) -> dict:
-            """Adds frequent words to the known ones and returns the others."""
-            others = {}
+        def learn(words: list[bytes]) -> None:
             hs = np.array([word_hash(w) for w in words], np.int64)
             at = np.minimum(np.searchsorted(m["h"], hs), max(len(m["h"]) - 1, 0))
             cs = np.where(m["h"][at] == hs, m["c"][at], 0) if len(m["h"]) else np.zeros(len(hs), np.int64)
@@ -306,7 +306,6 @@ def score(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
                     known[w] = (log((c + 0.1) / (n + 0.1 * (v + 1))), max(a, b) + log(1 + exp(-abs(a - b))), None)
                 else:
                     others[w] = (0.0, inner, h)
-            return others
 
         end = int(m["c"][np.searchsorted(m["h"], END)]) if n else 0
         end_base = log((end + 0.1) / (n + 0.1 * (v + 1)))
@@ -315,7 +314,9 @@ def score(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
             ids, cutd = b.column(0).to_pylist(), [cut(t) for t in b.column(1).to_pylist()]
             if len(known) > _KNOWN_WORDS:
                 known.clear()
-            others = learn(list(set().union(*cutd).difference(known)))
+            if len(others) > _OTHER_WORDS:
+                others.clear()
+            learn(list(set().union(*cutd).difference(known, others)))
             out: list[list] = [[] for _ in range(10)]
             for doc, words in zip(ids, cutd, strict=True):
                 base, full, hits, rare = end_base, end_full, int(end > 0), []
