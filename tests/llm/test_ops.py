@@ -200,6 +200,37 @@ def test_op7(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_op7_crowd(spark):
+    """Copies that each resemble one text and hardly each other: links that are no neighbours in any order count."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(240)]
+    texts = [base]
+    for _ in range(700):
+        copy = list(base)
+        for i in rng.sample(range(240), rng.randrange(2, 14)):
+            copy[i] = f"e{rng.randrange(10**6)}"
+        texts.append(copy)
+    rng.shuffle(texts)
+    sets = [{tuple(t[i : i + 3]) for i in range(len(t) - 2)} for t in texts]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    want = {i: root(i) for i in range(len(texts))}
+    assert 1 < len(set(want.values())) < len(texts)
+    got = minhash.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), 3, 85, 100)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
 def test_op8_sums_all_segmentations():
     lattice = lattice_lm.Lattice(["▁", "a", "b", "ab", "▁a"], np.array([4, 2, 2, 1, 1.0]))
     p = dict(zip(lattice.pieces, lattice.prob))

@@ -8,8 +8,13 @@ nearest classes by longest common prefix are candidates when they share
 neighbours agree and a sparse one no deeper than needed. Orders are
 range-partitioned, so a crowded region spreads over tasks. Candidates are
 confirmed on the full sets: first the closest one of each class, then all
-others that still lie in different components. Nothing within a group is
-paired with everything else.
+others that still lie in different components.
+
+Where more classes share ``MIN_DEPTH`` values than the reach covers, a link
+need not be a neighbour in any order. Such crowds are dealt in blocks; the
+classes outside a crowd's largest component pass each block, by signatures
+first and then, for those with a likely partner, by full sets. A class gets
+at most one link for each block and component, and pairs are never written.
 
 Edge cases: texts without words (null, empty) have an empty set and link with
 nothing; a text of fewer words than a shingle is one shingle; rows that repeat
@@ -33,9 +38,13 @@ SIG = 64
 TREES = 16
 #: Values of a signature that an order compares.
 DEPTH = 8
-MIN_DEPTH = 4
+MIN_DEPTH = SIG // TREES
 #: Neighbours looked at on each side in an order.
 REACH = 2
+#: Shingles and classes of a block of a crowd.
+BLOCK_SHINGLES, BLOCK_CLASSES = 100_000, 2_000
+#: Standard deviations by which a signature may fall short of the similarity.
+SPREAD = 5
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _MAX_WORDS = 400_000
@@ -211,12 +220,134 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
     return rows.select("blk", "doc", "side", "text").mapInArrow(run, "u long, v long")
 
 
+def crowds(reps: DataFrame, comp: DataFrame) -> DataFrame:
+    """(blk, tree, side, rep, comp, size, sig): blocks of the crowds that hold several components.
+
+    Side 0 has each class of a crowd once; side 1 has those outside its largest component, once a block.
+    """
+    width, step = 4 * MIN_DEPTH, 4 * SIG // TREES
+    known = reps.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"), "size", "sig")
+    known = materialize(known, "known")
+    starts = F.array(*[F.substring("sig", 1 + t * step, width) for t in range(TREES)])
+    placed = known.select("rep", "comp", "size", F.posexplode(starts).alias("tree", "start"))
+    parts = placed.groupBy("tree", "start", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    whole = parts.groupBy("tree", "start").agg(F.sum("n").alias("n"), F.sum("size").alias("all"), F.count("*").alias("parts"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    blocks = F.ceil(F.greatest(F.col("all") / BLOCK_SHINGLES, F.col("n") / BLOCK_CLASSES)).cast("int")
+    whole = materialize(whole.where(f"n > {REACH + 1} and parts > 1").select("tree", "start", "main", blocks.alias("blocks")), "crowds")
+    rows = placed.join(whole, ["tree", "start"])
+    own = F.struct(F.lit(0).alias("side"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("at"))
+    each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.lit(1).alias("side"), i.alias("at")))
+    rows = rows.withColumn("to", F.explode(F.when(F.col("comp") == F.col("main"), F.array(own)).otherwise(F.concat(F.array(own), each))))
+    rows = rows.select(F.xxhash64("tree", "start", "to.at").alias("blk"), "tree", F.col("to.side").alias("side"), "rep")
+    return rows.join(known, "rep").select("blk", "tree", "side", "rep", "comp", "size", "sig")
+
+
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Beginning and end of each run of equal keys."""
+    cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True)) if len(keys) else []
+
+
+def likely(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(blk, side, rep, comp) of the rows of ``crowds`` that may have a link between components.
+
+    Signatures may fall short of the similarity by SPREAD deviations; a pair
+    that meets in an earlier order is left to that one.
+    """
+    p, per = num / den, SIG // TREES
+    least = int(SIG * p - SPREAD * (SIG * p * (1 - p)) ** 0.5)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def out(blk, side, reps, comps) -> pa.RecordBatch:
+            n = len(reps)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, blk), pa.int64()), pa.array(np.full(n, side), pa.int32()), pa.array(reps, pa.int64()), pa.array(comps, pa.int64())], names=["blk", "side", "rep", "comp"])
+
+        at, held, need = None, [], None
+        for b in batches:
+            blks, side, tree, reps, comps, size = (b.column(c).to_numpy() for c in ("blk", "side", "tree", "rep", "comp", "size"))
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), ">u4").astype(np.uint32).reshape(-1, SIG)
+            for lo, hi in _runs(blks * 2 + side):
+                rows = (reps[lo:hi], comps[lo:hi], size[lo:hi], sig[lo:hi])
+                if blks[lo] != at:
+                    if need is not None and need.any():
+                        yield out(at, 0, held[0][need], held[1][need])
+                    at, held, need = blks[lo], None, None
+                if side[lo] == 0:
+                    held = rows if held is None else tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
+                    need = np.zeros(len(held[0]), bool)
+                    continue
+                _, tc, ts, tg = held
+                _, qc, qs, qg = rows
+                same, met = np.zeros((hi - lo, len(tc)), np.uint8), np.zeros((hi - lo, len(tc)), bool)
+                for g in range(TREES):
+                    every = np.ones(same.shape, bool)
+                    for i in range(g * per, (g + 1) * per):
+                        eq = qg[:, i : i + 1] == tg[:, i]
+                        same += eq
+                        every &= eq
+                    if g < tree[lo]:
+                        met |= every
+                fit = den * np.minimum(qs[:, None], ts) >= num * np.maximum(qs[:, None], ts)
+                ok = (same >= least) & ~met & fit & (qc[:, None] != tc)
+                need |= ok.any(0)
+                q = ok.any(1)
+                if q.any():
+                    yield out(at, 1, rows[0][q], rows[1][q])
+        if need is not None and need.any():
+            yield out(at, 0, held[0][need], held[1][need])
+
+    dealt = rows.repartition("blk").sortWithinPartitions("blk", "side")
+    return dealt.mapInArrow(run, "blk long, side int, rep long, comp long")
+
+
+def confirm_crowds(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(u, v): for each class of side 1 a link to each other component of its block, from the full sets."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        sh, at, held, index = worker_shingler(k), None, [], None
+        for b in batches:
+            blks, side, reps, comps = (b.column(c).to_numpy() for c in ("blk", "side", "rep", "comp"))
+            us, vs = [], []
+            for i, s in enumerate(sh.sets(b.column("text").to_pylist())):
+                if blks[i] != at:
+                    at, held, index = blks[i], [], None
+                if side[i] == 0:
+                    held.append((reps[i], comps[i], s))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    sizes = np.array([len(x[2]) for x in held])
+                    flat, owner = np.concatenate([x[2] for x in held]), np.repeat(np.arange(len(held)), sizes)
+                    order = np.argsort(flat, kind="stable")
+                    index = (flat[order], owner[order], sizes, np.array([x[0] for x in held]), np.array([x[1] for x in held]))
+                flat, owner, sizes, there, theirs = index
+                lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+                both = np.zeros(len(sizes), np.int64)
+                for c in range(0, len(s), 2_000):
+                    n = hi[c : c + 2_000] - lo[c : c + 2_000]
+                    first = np.repeat(lo[c : c + 2_000] - np.cumsum(n) + n, n)
+                    both += np.bincount(owner[first + np.arange(len(first))], minlength=len(sizes))
+                ok = np.flatnonzero((both > 0) & (den * both >= num * (sizes + len(s) - both)) & (theirs != comps[i]))
+                _, one = np.unique(theirs[ok], return_index=True)
+                us += [reps[i]] * len(one)
+                vs += there[ok[one]].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    dealt = rows.join(texts.withColumnRenamed("doc", "rep"), "rep").repartition("blk").sortWithinPartitions("blk", "side")
+    return dealt.select("blk", "side", "rep", "comp", "text").mapInArrow(run, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of (doc_id, text)."""
     arrow_rows(docs.sparkSession, 500)
     rows = materialize(sketch(docs, k), "sketches")
     some = rows.where("set_key is not null and doc_id is not null")
-    reps = materialize(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    reps = materialize(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size")), "classes")
     pairs = materialize(candidates(reps.select("rep", "sig")), "pairs")
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null and text is not null")
@@ -233,6 +364,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     )
     left = materialize(left, "left")
     more = materialize(confirm(left, texts, k, num, den), "links")
+    near = materialize(likely(crowds(reps.select("rep", "sig", "size"), comp), num, den), "likely")
+    more = more.union(materialize(confirm_crowds(near, texts, k, num, den), "links"))
     # A doc_id that stands in several classes joins them.
     named = some.join(reps.select("set_key", "rep"), "set_key").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
     both = named.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
