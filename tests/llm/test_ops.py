@@ -200,8 +200,10 @@ def test_op7(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
-def test_op7_crowd(spark):
+@pytest.mark.parametrize("block", [2_000, 40])
+def test_op7_crowd(spark, monkeypatch, block):
     """Copies that each resemble one text and hardly each other: links that are no neighbours in any order count."""
+    monkeypatch.setattr(minhash, "BLOCK_CLASSES", block)
     rng = random.Random(4)
     base = [f"w{rng.randrange(10**6)}" for _ in range(240)]
     texts = [base]

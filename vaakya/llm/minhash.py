@@ -13,8 +13,8 @@ others that still lie in different components.
 Where more classes share ``MIN_DEPTH`` values than the reach covers, a link
 need not be a neighbour in any order. Such crowds are dealt in blocks; the
 classes outside a crowd's largest component pass each block, by signatures
-first and then, for those with a likely partner, by full sets. A class gets
-at most one link for each block and component, and pairs are never written.
+first and then, for those with a likely partner, by full sets. A block writes
+links that join its components to a forest, and never pairs.
 
 Edge cases: texts without words (null, empty) have an empty set and link with
 nothing; a text of fewer words than a shingle is one shingle; rows that repeat
@@ -277,6 +277,7 @@ def likely(rows: DataFrame, num: int, den: int) -> DataFrame:
                 if side[lo] == 0:
                     held = rows if held is None else tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
                     need = np.zeros(len(held[0]), bool)
+                if side[lo] == 0 or held is None:
                     continue
                 _, tc, ts, tg = held
                 _, qc, qs, qg = rows
@@ -303,43 +304,52 @@ def likely(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def confirm_crowds(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(u, v): for each class of side 1 a link to each other component of its block, from the full sets."""
+    """(u, v): components that links between full sets join, a spanning forest of each block."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        sh, at, held, index = worker_shingler(k), None, [], None
+        sh, at, held, index, up = worker_shingler(k), None, [], None, {}
+
+        def root(c: int) -> int:
+            while (to := up.get(c, c)) != c:
+                up[c] = c = up.get(to, to)
+            return c
+
         for b in batches:
-            blks, side, reps, comps = (b.column(c).to_numpy() for c in ("blk", "side", "rep", "comp"))
+            blks, side, comps = (b.column(c).to_numpy() for c in ("blk", "side", "comp"))
             us, vs = [], []
             for i, s in enumerate(sh.sets(b.column("text").to_pylist())):
                 if blks[i] != at:
-                    at, held, index = blks[i], [], None
+                    at, held, index, up = blks[i], [], None, {}
                 if side[i] == 0:
-                    held.append((reps[i], comps[i], s))
+                    held.append((comps[i], s))
                     continue
                 if not held:
                     continue
                 if index is None:
-                    sizes = np.array([len(x[2]) for x in held])
-                    flat, owner = np.concatenate([x[2] for x in held]), np.repeat(np.arange(len(held)), sizes)
+                    sizes = np.array([len(x[1]) for x in held])
+                    flat, owner = np.concatenate([x[1] for x in held]), np.repeat(np.arange(len(held)), sizes)
                     order = np.argsort(flat, kind="stable")
-                    index = (flat[order], owner[order], sizes, np.array([x[0] for x in held]), np.array([x[1] for x in held]))
-                flat, owner, sizes, there, theirs = index
+                    index = (flat[order], owner[order], sizes, np.array([x[0] for x in held]))
+                flat, owner, sizes, theirs = index
                 lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
                 both = np.zeros(len(sizes), np.int64)
                 for c in range(0, len(s), 2_000):
                     n = hi[c : c + 2_000] - lo[c : c + 2_000]
                     first = np.repeat(lo[c : c + 2_000] - np.cumsum(n) + n, n)
                     both += np.bincount(owner[first + np.arange(len(first))], minlength=len(sizes))
-                ok = np.flatnonzero((both > 0) & (den * both >= num * (sizes + len(s) - both)) & (theirs != comps[i]))
-                _, one = np.unique(theirs[ok], return_index=True)
-                us += [reps[i]] * len(one)
-                vs += there[ok[one]].tolist()
+                own = int(comps[i])
+                for c in np.unique(theirs[(both > 0) & (den * both >= num * (sizes + len(s) - both))]).tolist():
+                    x, y = root(own), root(c)
+                    if x != y:
+                        up[max(x, y)] = min(x, y)
+                        us.append(own)
+                        vs.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     dealt = rows.join(texts.withColumnRenamed("doc", "rep"), "rep").repartition("blk").sortWithinPartitions("blk", "side")
-    return dealt.select("blk", "side", "rep", "comp", "text").mapInArrow(run, "u long, v long")
+    return dealt.select("blk", "side", "comp", "text").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -365,7 +375,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     left = materialize(left, "left")
     more = materialize(confirm(left, texts, k, num, den), "links")
     near = materialize(likely(crowds(reps.select("rep", "sig", "size"), comp), num, den), "likely")
-    more = more.union(materialize(confirm_crowds(near, texts, k, num, den), "links"))
+    more = more.union(materialize(confirm_crowds(near, texts, k, num, den).distinct(), "links"))
     # A doc_id that stands in several classes joins them.
     named = some.join(reps.select("set_key", "rep"), "set_key").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
     both = named.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
