@@ -105,6 +105,35 @@ def test_op3_recall(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_op3_large_group(spark):
+    """Fewer separate directions in the sample than pivots; labels whole, split by the index, and of several blocks."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[150:] = x[0] + 0.14 * x[150:]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    want = (x @ x.T >= 0.98).sum(1) - 1
+    links = lambda **k: embeddings.near_duplicates(df, **k).orderBy("vec_id").toPandas().n_links.to_numpy()
+    assert (links(pivots=245) == want).all()
+    have = links(pivots=245, whole=0)
+    assert (have <= want).all() and have.sum() >= 0.998 * want.sum()
+
+
+def test_op3_blocks_of_a_whole_label(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 100)
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(90, 8)), 10, axis=0) + 0.05 * rng.normal(size=(900, 8))
+    label = np.arange(900) % 2
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = (u @ u.T >= 0.98) & (label[:, None] == label[None])
+    got = embeddings.near_duplicates(df).orderBy("vec_id").toPandas()
+    assert (got.n_links.to_numpy() == close.sum(1) - 1).all()
+    root = embeddings._roots(900, *np.nonzero(close))
+    assert (got.component_id.to_numpy() == root).all()
+
+
 def packed_right(rows, seq_len):
     for _, g in rows.groupby("sequence_id"):
         g = g.sort_values("offset")

@@ -1,7 +1,10 @@
-"""Near-duplicate vectors by a pivot-permutation index.
+"""Near-duplicate vectors, by a pivot-permutation index where a label is large.
 
-A vector is described by its ``NEAREST`` nearest of ``pivots`` reference
-points, which come from a bounded sample. Inverted lists are kept for sets of
+A label of up to ``WHOLE`` distinct vectors is one list, in which every pair is
+compared: its blocks copy a vector no more often than the index would. Only a
+larger label is split by the index, which may miss links. There, a vector is described by its ``NEAREST`` nearest of ``pivots`` reference
+points, which come from a bounded sample and lie apart, so that no group of
+near copies holds several. Inverted lists are kept for sets of
 ``SHARED`` pivots: a vector stands in the list of every such subset of its
 nearest pivots, so two vectors meet exactly if they share that many. A pair is
 verified in the smallest list that both stand in, in double precision, in
@@ -33,9 +36,15 @@ NEAREST = 6
 SHARED = 3
 #: The index is fitted on a sample of at most this many vectors.
 SAMPLE = 1024
-MIN_PIVOTS, MAX_PIVOTS = 64, 512
+PIVOTS = 64
+#: Pivots end where the farthest vector of the sample is this near to one.
+APART = 0.9
 BLOCK = 2048
 _SUBSETS = list(combinations(range(NEAREST), SHARED))
+#: Vectors of a label that are compared in full: as many blocks as the index has lists for a vector.
+WHOLE = BLOCK * len(_SUBSETS)
+#: The key of the list of a whole label.
+_ALL = -2
 
 
 def _unit(rows: list[list[float]]) -> np.ndarray:
@@ -46,13 +55,13 @@ def _unit(rows: list[list[float]]) -> np.ndarray:
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
-    """Farthest-point pivots of a sample of unit vectors."""
+    """Farthest-point pivots of a sample of unit vectors; fewer than n once all of it is near to one."""
     if not len(sample):
         return sample
     best, near = [0], sample @ sample[0]
     while len(best) < min(n, len(sample)):
         i = int(np.argmin(near))
-        if near[i] > 1 - 1e-9:
+        if near[i] > APART:
             break
         best.append(i)
         near = np.maximum(near, sample @ sample[i])
@@ -101,28 +110,27 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def links(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
+def links(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS, whole: int = WHOLE) -> tuple[DataFrame, DataFrame]:
     """(rep, n) counts of linked vectors and (u, v) edges of (label, embedding, rep, weight)."""
     spark = vectors.sparkSession
-    dims = F.size("embedding")
-    sample = vectors.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").collect()  # at most SAMPLE rows
-    total = vectors.count()
-    n = pivots or int(min(MAX_PIVOTS, max(MIN_PIVOTS, total**0.5)))
+    vectors = vectors.withColumn("d", F.size("embedding"))
+    many = materialize(vectors.groupBy("label", "d").agg(F.count("*").alias("m")).where(F.col("m") > whole).select("label", "d", F.lit(True).alias("large")), "large")
+    sample = vectors.join(many, ["label", "d"], "left_semi").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").collect()  # at most SAMPLE rows
     by_dim: dict[int, list] = {}
     for r in sample:
         by_dim.setdefault(len(r[0]), []).append(r[0])
-    share = spark.sparkContext.broadcast({d: choose_pivots(_unit(x), n) for d, x in by_dim.items()})
+    share = spark.sparkContext.broadcast({d: choose_pivots(_unit(x), pivots) for d, x in by_dim.items()})
 
     def post(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            size = b.column("d").to_numpy()
-            for d in np.unique(size):
-                part = b.filter(pa.array(size == d))
-                x, own = _unit(part.column("embedding").to_pylist()), share.value.get(int(d))
+            size, large = b.column("d").to_numpy(), b.column("large").to_numpy(zero_copy_only=False)
+            for d, split in sorted(set(zip(size.tolist(), large.tolist(), strict=True))):
+                part = b.filter(pa.array((size == d) & (large == split)))
+                x, own = _unit(part.column("embedding").to_pylist()), share.value.get(d) if split else None
                 near = nearest(x, own) if own is not None else np.full((len(x), NEAREST), -1, np.int64)
-                keys = [np.unique(k) for k in list_keys(near)]
+                keys = [np.unique(k) for k in list_keys(near)] if split else [np.array([_ALL])] * len(x)
                 reps = np.repeat(np.arange(part.num_rows), [len(k) for k in keys])
                 packed = pa.array([r.tobytes() for r in near.astype("<i2")], pa.binary())
                 take = lambda c: part.column(c).take(pa.array(reps))  # noqa: B023, E731
@@ -132,7 +140,9 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int | None =
                 )
 
     posted = materialize(
-        vectors.select("label", dims.alias("d"), "rep", "weight", "embedding").mapInArrow(post, "label long, d int, key long, rep long, weight long, near binary, x binary"),
+        vectors.join(many, ["label", "d"], "left")
+        .select("label", "d", "rep", "weight", "embedding", F.coalesce("large", F.lit(False)).alias("large"))
+        .mapInArrow(post, "label long, d int, key long, rep long, weight long, near binary, x binary"),
         "lists",
     )
     sizes = posted.groupBy("label", "d", "key").agg(F.count("*").alias("m")).where("m > 1")
@@ -164,7 +174,9 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int | None =
                 u, v = u[ok], v[ok]
                 for s in range(0, len(u), 200_000):
                     a, b = u[s : s + 200_000], v[s : s + 200_000]
-                    good = (np.einsum("ij,ij->i", x[a], x[b]) >= threshold) & (smallest_shared(near[a], near[b]) == rows[0]["key"])
+                    good = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
+                    if rows[0]["key"] != _ALL:
+                        good &= smallest_shared(near[a], near[b]) == rows[0]["key"]
                     a, b = a[good], b[good]
                     n += np.bincount(a, weight[b], len(rows)).astype(np.int64) + np.bincount(b, weight[a], len(rows)).astype(np.int64)
                     us.append(a)
@@ -192,7 +204,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int | None =
     return done.groupBy("rep").agg(F.sum("n").alias("n")), done.select(F.col("rep").alias("u"), F.col("root").alias("v"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS, whole: int = WHOLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of (vec_id, embedding, label)."""
     arrow_rows(vectors.sparkSession, 2000)
     e = F.col("embedding")
@@ -205,7 +217,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, pivots: in
     )
     good = rows.where("ok")
     classes = materialize(good.groupBy("label", "same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")), "classes")
-    counts, edges = links(classes, threshold, pivots)
+    counts, edges = links(classes, threshold, pivots, whole)
     named = good.join(classes.select("label", "same", "rep"), ["label", "same"]).groupBy("vec_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"))
     comp = connected_components(edges.union(named.select("u", "v")))
     info = classes.select("label", "same", "rep", "weight").join(counts, "rep", "left").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
