@@ -130,6 +130,19 @@ def test_packing_stage(chain):
         assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 2048
 
 
+def test_one_copy_of_repeated_rows_keeps_its_text(spark, tmp_path):
+    """Rows that repeat a doc_id or have none, through near-dedup and suffix dedup."""
+    long = [" ".join(f"{w}{i}" for i in range(60)) for w in ("ab", "cd", "ef", "gh")]
+    rows = [(7, long[0]), (7, long[0]), (None, long[1]), (None, long[1]), (None, long[2]), (9, long[2]), (8, long[2]), (5, long[3]), (5, "a text of its own"), (6, ""), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/in")
+    near = STAGE["minhash near-dedup"](spark, spark.read.parquet(f"file://{tmp_path}/in"), SF)
+    near.write.parquet(f"file://{tmp_path}/near")
+    cut = STAGE["suffix-array dedup"](spark, spark.read.parquet(f"file://{tmp_path}/near"), SF)
+    want = [(7, long[0]), (None, long[1]), (8, long[2]), (5, long[3]), (5, "a text of its own"), (6, "")]
+    have = sorted((str(r.doc_id), r.text or "") for r in cut.collect())
+    assert have == sorted([(str(i), t) for i, t in want] + [("None", "")])
+
+
 def test_edge_rows_pass_every_stage(spark, tmp_path):
     """Nulls, empty and long texts, repeated rows, an empty table, and names that the operators use themselves."""
     extra = "_id long, _grade int, _gone long, _t string, n_bytes long, kept boolean, component_id long, rep long, part int, row long, item_id long, n_chars long, sig binary"

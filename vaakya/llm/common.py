@@ -69,6 +69,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: The column that ``numbered`` adds.
+ROW = "_vaakya_row"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` stored with a number for each row in ``ROW``, the same at every reading."""
+    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bounds the rows of a batch that a Python worker holds at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, connected_components, materialize, table
+from .common import ROW, arrow_rows, connected_components, materialize, numbered, table
 
 SIG = 64
 TREES = 16
@@ -390,9 +390,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
 
 def dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each group; rows without doc_id stay."""
-    gone = near_duplicates(docs, k, num, den).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """``docs`` with one row of each group, that of the smallest doc_id.
+
+    Every row is a document here, also where it repeats a doc_id or has none;
+    a row with a doc_id is kept before one without.
+    """
+    rows = numbered(docs)
+    near = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), k, num, den).select(F.col("doc_id").alias("at"), "component_id")
+    near = materialize(near.join(rows.select(F.col(ROW).alias("at"), F.col("doc_id").cast("long").alias("id")), "at"), "groups")
+    first = near.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first")).where("n > 1")
+    gone = near.join(first, "component_id").where("at <> first.at").select(F.col("at").alias("_gone"))
+    return rows.join(gone, rows[ROW] == gone["_gone"], "left_anti").drop(ROW)
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
