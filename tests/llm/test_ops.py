@@ -187,6 +187,15 @@ def test_op5(spark):
     assert decontaminate.audit(edge(spark), items.where("item_id < 0")).where("contaminated").count() == 0
 
 
+def test_op5_rows_without_id_are_judged(spark):
+    docs = spark.createDataFrame([(None, "a b one two c"), (None, "clean"), (3, "x one two"), (3, "clean too"), (None, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    left = decontaminate.decontaminate(docs, items).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == [("3", "clean too"), ("None", "None"), ("None", "clean")]
+    cut = decontaminate.decontaminate(docs, items, action="span").collect()
+    assert sorted(str(r.text) for r in cut) == ["None", "a b c", "clean", "clean too", "x "]
+
+
 def test_op6(spark, tmp_path):
     path = f"file://{tmp_path}/x"
     rows = token_files.read(spark, path, token_files.write(edge(spark), path)).orderBy("start").collect()

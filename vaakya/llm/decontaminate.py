@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import ROW, materialize, numbered, table
 
 N = 10
 #: Words are runs of ASCII letters and digits and of all other non-ASCII characters.
@@ -118,17 +118,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = N, action: str = "
     """``docs`` without contaminated documents, or with their hit words cut out.
 
     ``action="span"`` removes hit words with what follows each up to the next
-    word, and keeps the document. Documents are told by doc_id: rows that
-    repeat one share the verdict of all of them; a null doc_id is kept as it
-    is.
+    word, and keeps the document. Each row is judged by itself, also where it
+    repeats a doc_id or has none.
     """
-    if action == "document":
-        bad = audit(docs, items, n).where("contaminated and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
-    if action != "span":
+    if action not in ("document", "span"):
         raise ValueError(action)
-    found = audit(docs.where("doc_id is not null"), items, n, hit_positions=True).where("contaminated")
-    spans = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("_hits"))
+    rows = numbered(docs)
+    found = audit(rows.select(F.col(ROW).alias("doc_id"), "text"), items, n, hit_positions=action == "span").where("contaminated")
+    if action == "document":
+        bad = found.select(F.col("doc_id").alias("_bad"))
+        return rows.join(bad, rows[ROW] == bad["_bad"], "left_anti").drop(ROW)
+    spans = found.select(F.col("doc_id").alias("_doc"), F.col("hits").alias("_hits"))
     text = F.col("text")
     sep, word = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     units = F.regexp_extract_all(text, F.lit(f"{word}+{sep}*"), F.lit(0))
@@ -137,7 +137,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = N, action: str = "
     left = F.filter(units, lambda _, i: F.try_element_at(flags, i.cast("int")).isNull())
     cut = F.concat(F.regexp_extract(text, f"^{sep}*", 0), F.array_join(left, ""))
     new = F.when(F.col("_hits").isNull(), text).otherwise(cut)
-    out = docs.join(spans, docs["doc_id"] == spans["_doc"], "left").withColumn("text", new)
+    out = rows.join(spans, rows[ROW] == spans["_doc"], "left").withColumn("text", new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_hits").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
