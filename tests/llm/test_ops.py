@@ -319,6 +319,40 @@ def test_op10_finds_damage(spark, tmp_path):
     assert gzip.decompress(warc.record(1, None, None)).endswith(b"\r\n\r\n\r\n\r\n")
 
 
+def test_op10_damage_in_several_shards(spark, tmp_path):
+    """Changed, cut, lengthened and missing files against a comparison of all byte ranges."""
+    path = f"file://{tmp_path}/w"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = warc.write(spark.range(80).selectExpr("id as page_id", "'u' || id as url", "repeat('z', cast(id * 7 as int)) as html"), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shards = sorted(index.collect(), key=lambda r: r.shard)
+    assert len(shards) >= 4
+    for at, s in enumerate(shards[:4]):
+        name = f"{tmp_path}/w/{('second', 'first', 'second', 'second')[at]}/{s.shard}"
+        data = bytearray(open(name, "rb").read())
+        if at == 0:
+            for i in (0, 3, len(s.page_ids) - 1):
+                data[s.offsets[i] + 4] ^= 1
+        elif at == 1:
+            del data[s.offsets[4] + 2 :]
+        elif at == 2:
+            data += b"more"
+        os.remove(name)
+        if at < 3:
+            open(name, "wb").write(bytes(data))
+    read = lambda r, s: open(p, "rb").read() if os.path.exists(p := f"{tmp_path}/w/{r}/{s}") else b""
+    want = set()
+    for s in shards:
+        a, b = read("first", s.shard), read("second", s.shard)
+        want |= {(s.shard, i) for i, (x, y) in enumerate(zip(s.offsets, s.offsets[1:])) if a[x:y] != b[x:y]}
+        want |= {(s.shard, -1)} if a[s.offsets[-1] :] != b[s.offsets[-1] :] else set()
+    got = warc.audit(index, path).collect()
+    assert {(r.shard, r.record) for r in got if not r.intact} == want and len(want) > 10
+    assert sum(r.record >= 0 for r in got) == 80
+
+
 def test_components(spark):
     from vaakya.llm.common import connected_components
 
