@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from vaakya.operators import transcripts
 from vaakya.functions import align, classify, text
 from vaakya.plans import catalog
 
@@ -78,3 +79,17 @@ def test_against_sql(spark, name):
     assert cols == sorted(got.columns)
     as_rows = lambda df: sorted(map(repr, df[cols].astype(str).values.tolist()))
     assert as_rows(got) == as_rows(want)
+
+
+def test_unreliable_categories(spark):
+    """Over 30 % of at least two words; the first five words as examples."""
+    rows = [(i, f"w{i}", "loan", "valid" if i < 4 else "typo", "correct") for i in range(6)]
+    rows += [(i, f"x{i}", "name", "valid", "correct" if i else "incorrect") for i in range(4)] + [(0, "y", "rare", "typo", "correct")]
+    got = transcripts.unreliable_categories(spark.createDataFrame(rows, "pos int, word string, word_category string, analysis string, system_classification string")).collect()
+    assert [tuple(r) for r in got] == [("loan", 6, 2, "33.3%", [f"w{i}" for i in range(5)])]
+
+
+def test_wer_comparison(spark):
+    of = lambda *rows: spark.createDataFrame(list(rows), "edits long, ref_words long")
+    assert tuple(transcripts.wer_comparison(of((3, 4), (1, 4)), of((1, 8))).first()) == (0.5, 0.125, 0.375, 75.0)
+    assert transcripts.wer_comparison(of((0, 4)), of((1, 4))).first().improvement_pct == 0
