@@ -93,3 +93,28 @@ def test_wer_comparison(spark):
     of = lambda *rows: spark.createDataFrame(list(rows), "edits long, ref_words long")
     assert tuple(transcripts.wer_comparison(of((3, 4), (1, 4)), of((1, 8))).first()) == (0.5, 0.125, 0.375, 75.0)
     assert transcripts.wer_comparison(of((0, 4)), of((1, 4))).first().improvement_pct == 0
+
+
+def test_repetition_ngrams_documents(spark):
+    """Every document in full against a loop."""
+    import re
+
+    from vaakya.functions import lexicon
+
+    def fixed(t):
+        w = [x for x in re.split("[ \\t\\n\\r\\x0b\\x0c]+", t) if x]
+        if len(w) <= 1 or any(p in t for p in lexicon.INTENDED):
+            return t
+        w = [x for i, x in enumerate(w) if i == 0 or x != w[i - 1]]
+        for n in (2, 3):
+            out = []
+            for x in w:
+                out.append(x)
+                if len(out) >= 2 * n and out[-n:] == out[-2 * n : -n]:
+                    del out[-n:]
+            w = out
+        return " ".join(w)
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r.fixed for r in catalog._QUERIES["repetition_ngrams_documents"](spark, SF).collect()}
+    assert got == {i: t if t is None else fixed(t) for i, t in docs.items()}

@@ -95,6 +95,12 @@ def repetition_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.union(outputs).select("id", text.suppress_repetitions(F.col("text")).alias("fixed"))
 
 
+@_query()
+def repetition_ngrams_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated words, pairs and triples; ``repetition_suppress`` drops words only."""
+    return _read(spark, sf_dir, "documents").select("doc_id", text.suppress_repetitions(F.col("text")).alias("fixed"))
+
+
 _LEX = "'" + "', '".join(dict.fromkeys(WORDS)) + "'"
 _CODE = lambda t: f"array_to_string(list_transform(string_split({t}, ' '), lambda w: chr(cast(48 + list_position([{_LEX}], w) as int))), '')"
 _PAIRS = f"with {utterances_sql()}, pairs as (" + " union all ".join(f"select utt_id, 'model_{k}' as model_id, reference, model_{k} as prediction from utterances" for k in range(1, 6)) + (
