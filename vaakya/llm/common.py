@@ -2,7 +2,8 @@
 
 Scratch tables are Parquet files under ``spark.checkpoint.dir`` (the folder the
 cluster shares), so a lost executor costs a reread and never the lineage. A
-folder of our own is set only when that setting is empty, as in tests.
+folder of our own is set only where that setting is empty and the master is
+local, as in tests; elsewhere an empty setting is an error.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="vaakya-")
         sc.setCheckpointDir(path)
     return str(path).rstrip("/")
@@ -51,6 +54,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.scratch_path)
+
+
 def _clean() -> None:
     for spark, path in _SCRATCH:
         try:

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, arrow_rows, connected_components, materialize, numbered, table
+from .common import ROW, arrow_rows, connected_components, drop, materialize, numbered, table
 
 SIG = 64
 TREES = 16
@@ -41,8 +41,8 @@ DEPTH = 8
 MIN_DEPTH = SIG // TREES
 #: Neighbours looked at on each side in an order.
 REACH = 2
-#: Shingles and classes of a block of a crowd.
-BLOCK_SHINGLES, BLOCK_CLASSES = 100_000, 2_000
+#: Shingles and classes of a block of a crowd: some 100 MB of a worker at most.
+BLOCK_SHINGLES, BLOCK_CLASSES = 4_000_000, 8_192
 #: Standard deviations by which a signature may fall short of the similarity.
 SPREAD = 5
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -128,33 +128,39 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _orders(reps: DataFrame) -> DataFrame:
-    """(tree, ord, rep): each class in every order; ord holds DEPTH values, big-endian."""
+    """(tree, ord, rep, size): each class in every order; ord holds DEPTH values, big-endian."""
     width, step = 4 * DEPTH, 4 * SIG // TREES
     ring = F.concat("sig", F.substring("sig", 1, width))
     parts = F.array(*[F.substring(ring, 1 + t * step, width) for t in range(TREES)])
-    return reps.select("rep", F.posexplode(parts).alias("tree", "ord"))
+    return reps.select("rep", F.col("size").cast("int").alias("size"), F.posexplode(parts).alias("tree", "ord"))
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b, lcp): classes that are neighbours in an order, a before b there."""
+def candidates(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, lcp, fit): classes that are neighbours in an order, a before b there.
+
+    ``fit`` tells whether the sizes of their sets allow the similarity at all.
+    """
+
     def near(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def rows(a, b, lcp, tree, order) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lcp, pa.int32()), pa.array(tree, pa.int32()), pa.array(order, pa.binary())],
-                names=["a", "b", "lcp", "tree", "ord"],
-            )
+        def rows(a, b, lcp, fit, tree, order, size) -> pa.RecordBatch:
+            types = {"a": pa.int64(), "b": pa.int64(), "lcp": pa.int32(), "fit": pa.bool_(), "tree": pa.int32(), "ord": pa.binary(), "size": pa.int32()}
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((a, b, lcp, fit, tree, order, size), types.values(), strict=True)], names=list(types))
+
+        def edge(tree, rep, order, size) -> pa.RecordBatch:
+            none = [None] * len(rep)
+            return rows(rep, none, none, none, tree, [o.tobytes() for o in order], size)
 
         tail = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tree, rep = batch.column("tree").to_numpy(), batch.column("rep").to_numpy()
+            tree, rep, size = (batch.column(c).to_numpy() for c in ("tree", "rep", "size"))
             order = np.frombuffer(b"".join(batch.column("ord").to_pylist()), ">u4").reshape(-1, DEPTH)
             fresh = tail is None
             if not fresh:
-                tree, rep, order = (np.concatenate(x) for x in zip(tail, (tree, rep, order), strict=True))
+                tree, rep, order, size = (np.concatenate(x) for x in zip(tail, (tree, rep, order, size), strict=True))
             old = 0 if fresh else len(tail[0])
             for d in range(1, REACH + 1):
                 if len(rep) <= d:
@@ -162,28 +168,30 @@ def candidates(reps: DataFrame) -> DataFrame:
                 same = np.cumprod(order[:-d] == order[d:], axis=1).sum(1)
                 ok = (same >= MIN_DEPTH) & (tree[:-d] == tree[d:]) & (rep[:-d] != rep[d:]) & (np.arange(d, len(rep)) >= old)
                 if ok.any():
-                    n = int(ok.sum())
-                    yield rows(rep[:-d][ok], rep[d:][ok], same[ok], [None] * n, [None] * n)
+                    none = [None] * int(ok.sum())
+                    x, y = size[:-d][ok].astype(np.int64), size[d:][ok].astype(np.int64)
+                    yield rows(rep[:-d][ok], rep[d:][ok], same[ok], den * np.minimum(x, y) >= num * np.maximum(x, y), none, none, none)
             if fresh:
-                yield rows(rep[:REACH], [None] * len(rep[:REACH]), [None] * len(rep[:REACH]), tree[:REACH], [o.tobytes() for o in order[:REACH]])
-            tail = (tree[-REACH:], rep[-REACH:], order[-REACH:])
+                yield edge(tree[:REACH], rep[:REACH], order[:REACH], size[:REACH])
+            tail = (tree[-REACH:], rep[-REACH:], order[-REACH:], size[-REACH:])
         if tail is not None:
-            yield rows(tail[1], [None] * len(tail[1]), [None] * len(tail[1]), tail[0], [o.tobytes() for o in tail[2]])
+            yield edge(*tail)
 
     placed = _orders(reps).repartitionByRange("tree", "ord", "rep").sortWithinPartitions("tree", "ord", "rep")
-    found = materialize(placed.mapInArrow(near, "a long, b long, lcp int, tree int, ord binary"), "neighbours")
+    found = materialize(placed.mapInArrow(near, "a long, b long, lcp int, fit boolean, tree int, ord binary, size int"), "neighbours")
     # Neighbours on both sides of a border between partitions: a few rows of each partition.
     w = Window.partitionBy("tree").orderBy("ord", "a")
-    border = found.where("b is null").select("tree", "ord", "a").distinct()
+    border = found.where("b is null").select("tree", "ord", "a", "size").distinct()
+    fit = F.lit(den) * F.least("size", "s2").cast("long") >= F.lit(num) * F.greatest("size", "s2").cast("long")
     same = lambda other: sum((F.substring("ord", 1, 4 * (i + 1)) == F.substring(other, 1, 4 * (i + 1))).cast("int") for i in range(DEPTH))
     across = [
-        border.select("a", F.lead("a", d).over(w).alias("b"), F.lead("ord", d).over(w).alias("o2"), "ord").select("a", "b", same("o2").alias("lcp"))
+        border.select("a", "ord", "size", *[F.lead(c, d).over(w).alias(n) for c, n in (("a", "b"), ("ord", "o2"), ("size", "s2"))]).select("a", "b", same("o2").alias("lcp"), fit.alias("fit"))
         for d in range(1, REACH + 1)
     ]
-    out = found.where("b is not null").select("a", "b", "lcp")
+    out = found.where("b is not null").select("a", "b", "lcp", "fit")
     for x in across:
         out = out.union(x.where(f"b is not null and a <> b and lcp >= {MIN_DEPTH}"))
-    return out.groupBy("a", "b").agg(F.max("lcp").alias("lcp"))
+    return out.groupBy("a", "b").agg(F.max("lcp").alias("lcp"), F.max("fit").alias("fit"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -216,12 +224,12 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
     need = pairs.select(F.col("a").alias("blk"), F.col("a").alias("doc"), F.lit(0).alias("side")).distinct().union(
         pairs.select(F.col("a").alias("blk"), F.col("b").alias("doc"), F.lit(1).alias("side"))
     )
-    rows = need.join(texts, "doc").repartition("blk").sortWithinPartitions("blk", "side", "doc")
+    rows = need.hint("merge").join(texts, "doc").repartition("blk").sortWithinPartitions("blk", "side", "doc")
     return rows.select("blk", "doc", "side", "text").mapInArrow(run, "u long, v long")
 
 
-def crowds(reps: DataFrame, comp: DataFrame) -> DataFrame:
-    """(blk, tree, side, rep, comp, size, sig): blocks of the crowds that hold several components.
+def crowds(reps: DataFrame, comp: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(blk, tree, side, rep, comp, size, sig): blocks of the crowds that hold several components; and the tables it reads.
 
     Side 0 has each class of a crowd once; side 1 has those outside its largest component, once a block.
     """
@@ -239,7 +247,7 @@ def crowds(reps: DataFrame, comp: DataFrame) -> DataFrame:
     each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.lit(1).alias("side"), i.alias("at")))
     rows = rows.withColumn("to", F.explode(F.when(F.col("comp") == F.col("main"), F.array(own)).otherwise(F.concat(F.array(own), each))))
     rows = rows.select(F.xxhash64("tree", "start", "to.at").alias("blk"), "tree", F.col("to.side").alias("side"), "rep")
-    return rows.join(known, "rep").select("blk", "tree", "side", "rep", "comp", "size", "sig")
+    return rows.join(known, "rep").select("blk", "tree", "side", "rep", "comp", "size", "sig"), [known, whole]
 
 
 def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
@@ -348,7 +356,7 @@ def confirm_crowds(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int
                         vs.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    dealt = rows.join(texts.withColumnRenamed("doc", "rep"), "rep").repartition("blk").sortWithinPartitions("blk", "side")
+    dealt = rows.hint("merge").join(texts.withColumnRenamed("doc", "rep"), "rep").repartition("blk").sortWithinPartitions("blk", "side")
     return dealt.select("blk", "side", "comp", "text").mapInArrow(run, "u long, v long")
 
 
@@ -358,10 +366,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     rows = materialize(sketch(docs, k), "sketches")
     some = rows.where("set_key is not null and doc_id is not null")
     reps = materialize(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size")), "classes")
-    pairs = materialize(candidates(reps.select("rep", "sig")), "pairs")
+    pairs = every = materialize(candidates(reps, num, den), "pairs")
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null and text is not null")
-    texts = materialize(texts.join(wanted, "doc", "left_semi"), "texts")
+    # The same join at every size: the classes wanted grow with the documents.
+    texts = materialize(texts.join(wanted.hint("merge"), "doc", "left_semi"), "texts")
+    # Crowds are sought among all neighbours; sets of unfit sizes need no confirmation.
+    pairs = pairs.where("fit").drop("fit")
     closest = pairs.groupBy("b").agg(F.max_by("a", F.struct("lcp", "a")).alias("a"))
     links = materialize(confirm(closest, texts, k, num, den), "links")
     comp = materialize(connected_components(links), "components")
@@ -374,13 +385,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     )
     left = materialize(left, "left")
     more = materialize(confirm(left, texts, k, num, den), "links")
-    near = materialize(likely(crowds(reps.select("rep", "sig", "size"), comp), num, den), "likely")
-    more = more.union(materialize(confirm_crowds(near, texts, k, num, den).distinct(), "links"))
+    blocks, read = crowds(reps.select("rep", "sig", "size"), comp)
+    near = materialize(likely(blocks, num, den), "likely")
+    joined = materialize(confirm_crowds(near, texts, k, num, den).distinct(), "links")
+    drop(every, texts, left, near, *read)
     # A doc_id that stands in several classes joins them.
-    named = some.join(reps.select("set_key", "rep"), "set_key").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
-    both = named.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+    member = some.select("doc_id", "set_key").join(reps.select("set_key", "rep"), "set_key").select("doc_id", "rep")
+    named = member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("hi")).where("u <> hi")
+    both = member.join(named, "doc_id").select("u", F.col("rep").alias("v")).where("u <> v")
     stars = comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    comp = connected_components(stars.union(more).union(both))
+    first, comp = comp, connected_components(stars.union(more).union(joined).union(both))
+    drop(links, first, more, joined)
     last = rows.drop("sig").join(reps.select("set_key", "rep"), "set_key", "left")
     last = last.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     own = F.coalesce("component", "rep", "doc_id")
@@ -399,8 +414,8 @@ def dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFra
     near = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), k, num, den).select(F.col("doc_id").alias("at"), "component_id")
     near = materialize(near.join(rows.select(F.col(ROW).alias("at"), F.col("doc_id").cast("long").alias("id")), "at"), "groups")
     first = near.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first")).where("n > 1")
-    gone = near.join(first, "component_id").where("at <> first.at").select(F.col("at").alias("_gone"))
-    return rows.join(gone, rows[ROW] == gone["_gone"], "left_anti").drop(ROW)
+    gone = near.join(first, "component_id").where("at <> first.at").select(F.col("at").alias(f"{ROW}_gone"))
+    return rows.join(gone.hint("merge"), rows[ROW] == gone[f"{ROW}_gone"], "left_anti").drop(ROW)
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
