@@ -22,6 +22,8 @@ from .common import ROW, materialize, numbered, table
 N = 10
 #: Words are runs of ASCII letters and digits and of all other non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Columns added for a while, unlike any of a table's.
+DOC, HITS = f"{ROW}_doc", f"{ROW}_hits"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Windows that may be broadcast: at about 200 bytes each, 100 MB at most.
 BROADCAST_WINDOWS = 500_000
@@ -126,20 +128,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = N, action: str = "
     rows = numbered(docs)
     found = audit(rows.select(F.col(ROW).alias("doc_id"), "text"), items, n, hit_positions=action == "span").where("contaminated")
     if action == "document":
-        bad = found.select(F.col("doc_id").alias("_bad"))
-        return rows.join(bad, rows[ROW] == bad["_bad"], "left_anti").drop(ROW)
-    spans = found.select(F.col("doc_id").alias("_doc"), F.col("hits").alias("_hits"))
+        # Stored first, so that Spark knows its true size and shuffles the documents only where it is large.
+        bad = materialize(found.select(F.col("doc_id").alias(DOC)), "bad")
+        return rows.join(bad, rows[ROW] == bad[DOC], "left_anti").drop(ROW)
+    spans = found.select(F.col("doc_id").alias(DOC), F.col("hits").alias(HITS))
     text = F.col("text")
     sep, word = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     units = F.regexp_extract_all(text, F.lit(f"{word}+{sep}*"), F.lit(0))
-    hit = F.array_distinct(F.flatten(F.transform("_hits", lambda x: F.sequence(x["pos"], x["pos"] + x["w"] - 1))))
+    hit = F.array_distinct(F.flatten(F.transform(HITS, lambda x: F.sequence(x["pos"], x["pos"] + x["w"] - 1))))
     flags = F.map_from_arrays(hit, F.transform(hit, lambda _: F.lit(True)))
     left = F.filter(units, lambda _, i: F.try_element_at(flags, i.cast("int")).isNull())
     cut = F.concat(F.regexp_extract(text, f"^{sep}*", 0), F.array_join(left, ""))
-    new = F.when(F.col("_hits").isNull(), text).otherwise(cut)
-    out = rows.join(spans, rows[ROW] == spans["_doc"], "left").withColumn("text", new)
+    new = F.when(F.col(HITS).isNull(), text).otherwise(cut)
+    out = rows.join(spans, rows[ROW] == spans[DOC], "left").withColumn("text", new)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_hits").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(HITS).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 
