@@ -12,14 +12,16 @@ and boundaries left without a value join suffixes that agree on that length.
 A window repeats if its group of suffixes stands for two places or more.
 
 Crowded anchors: grams are first counted into a fixed number of counters, and
-a window takes a gram of a full counter as its anchor only if it has no other.
-Such segments end where the frequent passage ends, so their copies are equal
-and are counted before they are shuffled.
+a window takes a gram of one of the fullest as its anchor only if it has no
+other. Such segments end where the frequent passage ends, so their copies are
+equal and are counted before they are shuffled. An anchor that still has many
+unequal segments is split by the bytes beside it: a window reaches 84 bytes
+beyond its anchor on one side at least, and equal windows do so alike.
 
-Documents are scanned several times, and what is found is handed back by scan
-partition and row, so texts are never shuffled. ``docs`` must therefore be a
-stored table (its partitions and their order must not change between scans);
-what is handed back is checked against rows and lengths, and a mismatch is an error.
+Documents are scanned several times, and what is found is handed back by file
+and row within it, so texts are never shuffled and scans may be split in any
+way. A table that does not lie in files is stored first. The bytes of what is
+handed back are checked by their hash, and a mismatch is an error.
 
 Edge cases: a null text is empty; documents shorter than the minimum length
 keep every byte; rows that repeat a doc_id are documents of their own; an
@@ -33,7 +35,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, materialize, remove, scratch, table
@@ -46,6 +49,14 @@ GRAM = 32
 SLICE = 1 << 20
 #: Bytes of a block whose BWT is taken; a block holds whole anchors.
 BLOCK = 1 << 20
+#: Counters of grams: 2 ** COUNTERS, of which one in FULLEST is crowded if it counts more than FEW.
+COUNTERS, FULLEST, FEW = 20, 64, 500
+#: Unequal segments of an anchor from which it is split by its neighbourhood.
+SPLIT = 1_000
+#: Bytes beyond the anchor that every window has on one side.
+_SIDE = (MIN_LEN - GRAM) // 2
+#: Rows of a file that are handed back in one folder.
+FOLDER_ROWS = 4_096
 _C = np.uint64(0x9E3779B97F4A7C15)
 _POS = np.uint64((1 << 24) - 1)
 _TOP = np.uint64(1 << 63)
@@ -218,16 +229,27 @@ def _texts(batch) -> list[bytes]:
     return [x.encode("utf-8", "surrogatepass") if x else b"" for x in batch.column(1).to_pylist()]
 
 
+def located(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns and (part, row): a hash of the file and of a range of its rows, and the row's place in the file."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        found = docs.select(*columns, at["file_path"].alias("_file"), at["row_index"].alias("row"))
+        found.schema
+    except AnalysisException:  # not read from files
+        docs = materialize(docs, "documents")
+        at = docs.metadataColumn("_metadata")
+        found = docs.select(*columns, at["file_path"].alias("_file"), at["row_index"].alias("row"))
+    return found.select(*columns, F.xxhash64("_file", F.expr(f"row div {FOLDER_ROWS}")).alias("part"), "row")
+
+
 def _count(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Which counters of the gram hashes are crowded, and the shift that gives a hash's counter."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(min(27, max(20, np.log2(max(size, 1)) - 10)))
-    shift, pieces = 64 - bits, 16
+    shift, pieces = 64 - COUNTERS, 16
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << COUNTERS, np.uint32)
         held, size = [], 0
         for b in batches:
             for data in _texts(b):
@@ -235,72 +257,70 @@ def _count(docs: DataFrame) -> tuple[np.ndarray, int]:
                     held.append((gram_hashes(data[i : i + SLICE + GRAM - 1]) >> np.uint64(shift)).astype(np.uint32))
                     size += len(held[-1])
                     if size > 4 * SLICE:
-                        total += np.bincount(np.concatenate(held), minlength=1 << bits)
+                        total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
                         held, size = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=1 << bits)
+            total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
         if total.any():
             yield pa.RecordBatch.from_pydict({"piece": pa.array(range(pieces), pa.int32()), "counts": pa.array([x.tobytes() for x in np.split(total.astype("<u4"), pieces)])})
 
-    limit = max(500, 16 * size >> bits)
-
     def merge(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums[p] = sums.get(p, 0) + np.frombuffer(c, "<u4").astype(np.int64)
+                sums[p] = sums.get(p, 0) + np.frombuffer(c, "<u4").astype(np.uint64)
         ps = list(sums)
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(ps, pa.int32()), "full": pa.array([np.packbits(sums[p] > limit).tobytes() for p in ps], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(ps, pa.int32()), "counts": pa.array([sums[p].astype("<u8").tobytes() for p in ps], pa.binary())})
 
-    rows = docs.mapInArrow(run, "piece int, counts binary").repartition(pieces, "piece").mapInArrow(merge, "piece int, full binary").collect()  # 2 ** bits bits
-    full = np.zeros((pieces, (1 << bits) // pieces), bool)
+    rows = docs.mapInArrow(run, "piece int, counts binary").repartition(pieces, "piece").mapInArrow(merge, "piece int, counts binary").collect()  # 2 ** COUNTERS counts
+    counts = np.zeros((pieces, (1 << COUNTERS) // pieces), np.uint64)
     for r in rows:
-        full[r["piece"]] = np.unpackbits(np.frombuffer(r["full"], np.uint8)).astype(bool)
-    return full.ravel(), shift
+        counts[r["piece"]] = np.frombuffer(r["counts"], "<u8")
+    counts = counts.ravel()
+    return counts > max(FEW, np.partition(counts, -(len(counts) // FULLEST))[-(len(counts) // FULLEST)]), shift
 
 
 def _segments(docs: DataFrame, crowded: np.ndarray, shift: int) -> DataFrame:
-    """(anchor, seg, part, row, lo, len): every segment of every document."""
+    """(anchor, seg, part, row, lo, len, z): every segment of every document; z is its anchor's place in it."""
     share = docs.sparkSession.sparkContext.broadcast(crowded)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
-        from pyspark import TaskContext
 
-        part, row, digest = TaskContext.get().partitionId(), 0, xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_64_intdigest
         for b in batches:
             cols: list[list] = [[] for _ in range(5)]
             segs: list[int] = []
-            for data in _texts(b):
+            for i, data in enumerate(_texts(b)):
                 h, pos, lo, hi = anchors(data, share.value, shift)
                 if len(h):
                     size = hi - lo + MIN_LEN
                     segs += [digest(data[x : x + y], z) for x, y, z in zip(lo.tolist(), size.tolist(), (pos - lo).tolist(), strict=True)]
-                    for c, v in zip(cols, (h.view(np.int64), np.full(len(h), row), lo, size), strict=False):
+                    for c, v in zip(cols, (h.view(np.int64), np.full(len(h), i), lo, size, pos - lo), strict=True):
                         c.append(v)
-                row += 1
             if segs:
-                h, r, lo, size = (np.concatenate(c) for c in cols[:4])
+                h, at, lo, size, z = (np.concatenate(c) for c in cols)
+                at = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(np.array(segs, np.uint64).view(np.int64)), pa.array(np.full(len(h), part, np.int32)), pa.array(r.astype(np.int64)), pa.array(lo), pa.array(size.astype(np.int32))],
-                    names=["anchor", "seg", "part", "row", "lo", "len"],
+                    [pa.array(h), pa.array(np.array(segs, np.uint64).view(np.int64)), b.column(2).take(at), b.column(3).take(at), pa.array(lo), pa.array(size.astype(np.int32)), pa.array(z.astype(np.int32))],
+                    names=["anchor", "seg", "part", "row", "lo", "len", "z"],
                 )
 
-    return docs.mapInArrow(run, "anchor long, seg long, part int, row long, lo long, len int")
+    return docs.mapInArrow(run, "anchor long, seg long, part long, row long, lo long, len int, z int")
 
 
 def _hand_back(df: DataFrame, name: str) -> str:
-    """Writes rows in a folder for each scan partition."""
+    """Writes rows in a folder for each part."""
     path = scratch(df.sparkSession, name)
     df.repartition("part").write.partitionBy("part").parquet(path)
     return path
 
 
 def _own(path: str, part: int, columns: list[str]) -> dict[int, list[tuple]]:
-    """The rows handed back to a scan partition, by row; read by its task."""
+    """The rows handed back to a part, by row."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
@@ -319,48 +339,67 @@ def _own(path: str, part: int, columns: list[str]) -> dict[int, list[tuple]]:
     return out
 
 
+def _checked(data: bytes, lo: int, size: int, z: int, seg: int) -> bytes:
+    """A segment's bytes, if they are what was hashed."""
+    import xxhash
+
+    own = data[lo : lo + size]
+    if xxhash.xxh3_64_intdigest(own, z) != seg & (1 << 64) - 1:
+        raise RuntimeError("the documents changed between two scans")
+    return own
+
+
+def neighbourhoods(anchor: int, data: bytes, z: int) -> list[tuple[int, int, bytes]]:
+    """(key, offset, bytes) of a segment's windows by the bytes that they share beside the anchor, right or left."""
+    import xxhash
+
+    out, last = [], len(data) - MIN_LEN
+    key = lambda side, a, b: xxhash.xxh3_64_intdigest(anchor.to_bytes(8, "little", signed=True) + side + data[a:b]) - (1 << 63)
+    first = max(0, z - _SIDE)
+    if first <= last:
+        out.append((key(b"r", z, z + GRAM + _SIDE), first, data[first:]))
+    if first > 0:
+        end = min(last, first - 1)
+        out.append((key(b"l", z - _SIDE, z + GRAM), 0, data[: end + MIN_LEN]))
+    return out
+
+
 def _fetch(docs: DataFrame, path: str) -> DataFrame:
-    """(anchor, seg, n, data): the bytes of the wanted segments."""
+    """(key, anchor, seg, n, off, data): the bytes of the wanted segments, split where their anchor is crowded."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        want, row = _own(path, TaskContext.get().partitionId(), ["anchor", "seg", "n", "lo", "len"]), 0
+        at, want = None, {}
         for b in batches:
             out: list[tuple] = []
-            for data in _texts(b):
-                for anchor, seg, n, lo, size in want.pop(row, ()):
-                    if lo + size > len(data):
-                        raise RuntimeError("the documents changed between two scans")
-                    out.append((anchor, seg, n, data[lo : lo + size]))
-                row += 1
+            for data, part, row in zip(_texts(b), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if part != at:
+                    at, want = part, _own(path, part, ["anchor", "seg", "n", "lo", "len", "z", "crowd"])
+                for anchor, seg, n, lo, size, z, crowd in want.get(row, ()):
+                    own = _checked(data, lo, size, z, seg)
+                    for key, off, x in neighbourhoods(anchor, own, z) if crowd else [(anchor, 0, own)]:
+                        out.append((key, anchor, seg, n, off, x))
             if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "seg", "n", "data"])
-        if want:
-            raise RuntimeError("the documents changed between two scans")
+                cols, names = list(zip(*out, strict=True)), ["key", "anchor", "seg", "n", "off", "data"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if x == "data" else pa.int64()) for c, x in zip(cols, names, strict=True)], names=names)
 
-    return docs.mapInArrow(run, "anchor long, seg long, n long, data binary")
+    return docs.mapInArrow(run, "key long, anchor long, seg long, n long, off long, data binary")
 
 
 def _search(segments: DataFrame) -> DataFrame:
-    """(seg, runs): for each segment with repeated windows, the (first, last) of their runs."""
-
-    def solve(block: list[tuple]) -> tuple[list, list]:
-        segs, runs = [], []
-        for (_, seg, _, _), at in zip(block, repeated([x[3] for x in block], [x[2] for x in block]), strict=True):
-            if len(at):
-                segs.append(seg)
-                runs.append(_runs(at).astype("<i8").tobytes())
-        return segs, runs
+    """(anchor, seg, runs): for each segment with repeated windows, the (first, last) of their runs."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         def rows(block: list[tuple]) -> pa.RecordBatch:
-            segs, runs = solve(block)
-            return pa.RecordBatch.from_arrays([pa.array(segs, pa.int64()), pa.array(runs, pa.binary())], names=["seg", "runs"])
+            out: list[tuple] = []
+            for (_, anchor, seg, _, off, _), at in zip(block, repeated([x[5] for x in block], [x[3] for x in block]), strict=True):
+                if len(at):
+                    out.append((anchor, seg, (_runs(at) + off).astype("<i8").tobytes()))
+            anchors, segs, runs = zip(*out, strict=True) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(segs, pa.int64()), pa.array(runs, pa.binary())], names=["anchor", "seg", "runs"])
 
         block, size = [], 0
         for b in batches:
@@ -369,45 +408,42 @@ def _search(segments: DataFrame) -> DataFrame:
                     yield rows(block)
                     block, size = [], 0
                 block.append(r)
-                size += len(r[3])
+                size += len(r[5])
         if block:
             yield rows(block)
 
-    return segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "seg long, runs binary")
+    return segments.repartition("key").sortWithinPartitions("key").mapInArrow(run, "anchor long, seg long, runs binary")
 
 
 def _spans(docs: DataFrame) -> str:
-    """Finds all repeated windows; returns the folder of (row, lo, runs, len) by scan partition, runs null for a whole segment."""
+    """Finds all repeated windows; returns the folder of (row, lo, len, z, seg, runs) by part, runs null for a whole segment."""
     spark = docs.sparkSession
     crowded, shift = _count(docs)
     segs = materialize(_segments(docs, crowded, shift), "segments")
-    each = segs.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("part", "row", "lo", "len")).alias("at"))
-    from pyspark.sql import Window
-
+    each = segs.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("part", "row", "lo", "len", "z")).alias("at"))
     by = Window.partitionBy("anchor")
     known = each.withColumn("all", F.sum("n").over(by)).withColumn("kinds", F.count("*").over(by)).where("all > 1")
     known = materialize(known.select("anchor", "seg", "n", "kinds", "at.*"), "known")
-    want = _hand_back(known.where("kinds > 1").drop("kinds"), "wanted")
+    want = _hand_back(known.where("kinds > 1").withColumn("crowd", F.col("kinds") > SPLIT).drop("kinds"), "wanted")
     # A segment that is alone with its anchor and stands in several places repeats as a whole.
-    alone = known.where("kinds = 1").select("seg", F.lit(None).cast("binary").alias("runs"), "len")
-    found = materialize(_search(_fetch(docs, want)).select("seg", "runs", F.lit(0).alias("len")).union(alone), "repeats")
+    alone = known.where("kinds = 1").select("anchor", "seg", F.lit(None).cast("binary").alias("runs"))
+    found = materialize(_search(_fetch(docs, want)).union(alone), "repeats")
     remove(spark, want)
     remove(spark, known.scratch_path)
-    spans = segs.select("seg", "part", "row", "lo").join(found, "seg").select("part", "row", "lo", "runs", "len")
-    path = _hand_back(spans, "spans")
+    path = _hand_back(segs.join(found, ["anchor", "seg"]).select("part", "row", "lo", "len", "z", "seg", "runs"), "spans")
     remove(spark, segs.scratch_path)
     remove(spark, found.scratch_path)
     return path
 
 
 def _cut(data: bytes, own: list[tuple]) -> tuple[int, int, list[bytes]]:
-    """(bytes removed, removed runs, parts kept) of a text."""
+    """(bytes removed, removed runs, parts kept) of a text; ``own`` has (lo, len, z, seg, runs)."""
     if not own:
         return 0, 0, [data]
-    whole = np.array([(lo, lo + size - MIN_LEN) for lo, r, size in own if r is None], np.int64).reshape(-1, 2)
-    runs = np.concatenate([whole, *[np.frombuffer(r, "<i8").reshape(-1, 2) + lo for lo, r, _ in own if r is not None]])
-    if runs[:, 1].max() + MIN_LEN > len(data):
-        raise RuntimeError("the documents changed between two scans")
+    for lo, size, z, seg in {x[:4] for x in map(tuple, own)}:
+        _checked(data, lo, size, z, seg)
+    whole = np.array([(lo, lo + size - MIN_LEN) for lo, size, _, _, r in own if r is None], np.int64).reshape(-1, 2)
+    runs = np.concatenate([whole, *[np.frombuffer(r, "<i8").reshape(-1, 2) + lo for lo, _, _, _, r in own if r is not None]])
     runs = runs[np.argsort(runs[:, 0], kind="stable")]
     a, b = runs[:, 0], np.maximum.accumulate(runs[:, 1] + MIN_LEN)
     new = np.concatenate([[True], a[1:] > b[:-1]])
@@ -417,50 +453,56 @@ def _cut(data: bytes, own: list[tuple]) -> tuple[int, int, list[bytes]]:
 
 
 def _apply(docs: DataFrame, path: str, text: bool) -> DataFrame:
-    """A row per document: its digest, or its remaining text."""
+    """A row per document of (doc_id, text, part, row, ...): its digest, or its remaining text."""
     last = "text string" if text else "kept_sha256 string"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        own, row = _own(path, TaskContext.get().partitionId(), ["lo", "runs", "len"]), 0
+        at, own = None, {}
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for data in _texts(b):
-                gone, spans, kept = _cut(data, own.pop(row, []))
+            for data, part, row in zip(_texts(b), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if part != at:
+                    at, own = part, _own(path, part, ["lo", "len", "z", "seg", "runs"])
+                gone, spans, kept = _cut(data, own.get(row, []))
                 for c, v in zip(out, (len(data), gone, spans, kept), strict=True):
                     c.append(v)
-                row += 1
             if text:
                 # Each part by itself, so that halves of two characters never make a third.
                 tail = ["".join([x.decode("utf-8", "ignore") for x in parts]) for parts in out[3]]
             else:
                 tail = [hashlib.sha256(b"".join(parts)).hexdigest() for parts in out[3]]
-            cols = [b.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(tail, pa.string()), *[b.column(i) for i in range(2, b.num_columns)]]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", last.split()[0], *b.schema.names[2:]])
+            cols = [b.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(tail, pa.string()), *[b.column(i) for i in range(4, b.num_columns)]]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", last.split()[0], *b.schema.names[4:]])
 
-    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
+    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[4:])
     return docs.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}{extra}")
 
 
+def _base(found: DataFrame) -> DataFrame:
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "part", "row")
+
+
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document of a stored table."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
     arrow_rows(docs.sparkSession, 500)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = _base(located(docs, "doc_id", "text"))
     return _apply(docs, _spans(docs), False)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs``, a stored table, without repeated strings; a character cut in two goes whole.
+    """``docs`` without repeated strings; a character cut in two goes whole.
 
     Where there is an ``n_chars``, it counts the remaining text.
     """
     arrow_rows(docs.sparkSession, 500)
     names = docs.columns
     rest = {c: f"_x{i}" for i, c in enumerate(x for x in names if x not in ("doc_id", "text"))}
-    wide = docs.select(F.col("doc_id").cast("long"), "text", *[F.col(c).alias(a) for c, a in rest.items()])
-    out = _apply(wide, _spans(wide.select("doc_id", "text")), True)
+    at = located(docs.select("doc_id", "text", *[F.col(c).alias(a) for c, a in rest.items()]), "doc_id", "text", *rest.values())
+    base = _base(at)
+    wide = at.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "part", "row", *rest.values())
+    out = _apply(wide, _spans(base), True)
     cols = []
     for c in names:
         if c == "n_chars":
