@@ -15,8 +15,8 @@ from functools import lru_cache
 VOCAB = "byte_bpe_50k.json"
 #: The vocabulary's only special token.
 SPECIAL = "<|endoftext|>"
-#: Pieces kept by a worker before its table is begun anew.
-MAX_PIECES = 600_000
+#: Pieces kept by a worker, in a young and an old table of half as many each.
+MAX_PIECES = 1_000_000
 
 
 def vocab_path(name: str = VOCAB) -> str:
@@ -46,6 +46,7 @@ class Encoder:
             self.single.model = model
         self.max_pieces = max_pieces
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str], single: bool = False) -> list[bytes]:
         from array import array
@@ -90,10 +91,15 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null is empty."""
         cut = [self.pieces(x) if x else [] for x in texts]
-        if len(self.known) > self.max_pieces:
-            self.known.clear()
+        if 2 * len(self.known) > self.max_pieces:
+            self.known, self.old = {}, self.known
         new = set().union(*[ps[1:] for ps in cut if ps])
         new.difference_update(self.known)
+        # What is met again comes over from the old table; what is not, goes with it.
+        again = new & self.old.keys() if self.old else set()
+        if again:
+            self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            new -= again
         if new:
             self._learn(new)
         heads = list({ps[0] for ps in cut if ps and ps[0]})
