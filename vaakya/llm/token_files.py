@@ -13,8 +13,8 @@ the end (u64); then for each level its length (u64), chunks (u8, padded to 8),
 bitmap (u64 words), directory (u64 per block).
 
 Edge cases: a null text is empty and has the end id alone; null doc_ids come
-first; rows that repeat a doc_id stand side by side in order of their text; an
-empty table writes no file and gives an empty result; other columns are not
+first; rows that repeat a doc_id stand side by side in an order that their text
+alone decides; an empty table writes no file and gives an empty result; other columns are not
 read.
 """
 
@@ -33,6 +33,8 @@ from .tokens import worker_encoder
 MAGIC = b"VAAKDAC1"
 END_ID = 2
 BLOCK = 512
+#: Tokens at which a shard ends: a worker holds one at a time, about 400 MB with what is made of it.
+SHARD_TOKENS = 1 << 25
 
 
 def file_system(path: str):
@@ -134,11 +136,12 @@ class Shard:
         return out
 
 
-def write(docs: DataFrame, path: str, end_id: int = END_ID) -> list[tuple]:
+def write(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> list[tuple]:
     """Writes shards under ``path``; returns (name, documents, tokens) in order, a row per file.
 
-    A file is written under its attempt's name and then renamed, so a task
-    that runs again leaves the same file.
+    A shard ends with the document that brings it to ``shard_tokens``. Files
+    bear the number of their attempt and only those of the attempt that
+    counted are returned, so a task that runs again overwrites nothing.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -146,28 +149,40 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID) -> list[tuple]:
         from pyspark import TaskContext
 
         enc, task = worker_encoder(), TaskContext.get()
+        fs, root = file_system(path)
+        end = np.array([end_id], "<u4").tobytes()
         doc_ids: list[int | None] = []
         ids: list[bytes] = []
-        end = np.array([end_id], "<u4").tobytes()
+        size, number = 0, 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal size, number
+            lengths = np.array([len(x) // 4 for x in ids])
+            name = f"shard-{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}.dac"
+            fs.create_dir(root, recursive=True)
+            with fs.open_output_stream(f"{root}/{name}") as f:
+                f.write(dump(doc_ids, lengths, np.frombuffer(b"".join(ids), "<u4")))
+            out = pa.RecordBatch.from_pydict({"part": [task.partitionId()], "number": [number], "name": [name], "docs": [len(ids)], "tokens": [int(lengths.sum())]})
+            doc_ids.clear()
+            ids.clear()
+            size, number = 0, number + 1
+            return out
+
         for b in batches:
-            doc_ids += b.column(0).to_pylist()
-            ids += [x + end for x in enc.encode(b.column(1).to_pylist())]
-        if not doc_ids:
-            return
-        lengths = np.array([len(x) // 4 for x in ids])
-        tokens = np.frombuffer(b"".join(ids), "<u4")
-        del ids
-        name = f"shard-{task.partitionId():06d}.dac"
-        fs, root = file_system(path)
-        fs.create_dir(root, recursive=True)
-        own = f"{root}/_attempt-{task.taskAttemptId()}"
-        with fs.open_output_stream(own) as f:
-            f.write(dump(doc_ids, lengths, tokens))
-        fs.move(own, f"{root}/{name}")
-        yield pa.RecordBatch.from_pydict({"name": [name], "docs": [len(doc_ids)], "tokens": [len(tokens)]})
-
-    sort = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return sorted(tuple(r) for r in sort.mapInArrow(run, "name string, docs long, tokens long").collect())  # a row per file
+            for doc, x in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
+                doc_ids.append(doc)
+                ids.append(x + end)
+                size += len(x) // 4 + 1
+                if size >= shard_tokens:
+                    yield flush()
+        if ids:
+            yield flush()
+
+    # Rows that repeat an id are dealt by their text, so that no id is a task of its own.
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    sort = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+    files = sort.mapInArrow(run, "part long, number long, name string, docs long, tokens long").collect()  # a row per file
+    return [tuple(r)[2:] for r in sorted(files)]
 
 
 def read(spark: SparkSession, path: str, shards: list[tuple]) -> DataFrame:
