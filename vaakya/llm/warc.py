@@ -7,7 +7,8 @@ behind the last; parents hash their children. The audit compares the roots of
 two replicas and descends only where they differ, down to the damaged ranges.
 
 Edge cases: a null html is an empty payload, a null url leaves its header out;
-null page_ids come first; rows that repeat a page_id are records of their own;
+null page_ids come first; rows that repeat a page_id are records of their own
+in an order that their content decides;
 an empty table writes nothing and gives an empty result; a missing or cut file
 has the ranges that it lacks reported; other columns are not read.
 """
@@ -26,6 +27,10 @@ from .common import arrow_rows, materialize, scratch, table
 from .token_files import file_system
 
 REPLICAS = ("first", "second")
+#: Bytes at which a shard ends; the audit holds one at a time.
+SHARD_BYTES = 1 << 28
+#: The registered query spoils the records whose page_id this divides, so that its audit has damage to find.
+DRILL = 50
 _EMPTY = hashlib.sha256(b"").digest()
 
 
@@ -47,42 +52,64 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["Content-Length"])]
 
 
-def write(pages: DataFrame, path: str, replicas: tuple[str, ...] = REPLICAS) -> DataFrame:
+def _flipped(member: bytes) -> bytes:
+    """A record with the bits of its middle byte turned, as a decayed replica has it."""
+    at = len(member) // 2
+    return member[:at] + bytes([member[at] ^ 0xFF]) + member[at + 1 :]
+
+
+def write(pages: DataFrame, path: str, replicas: tuple[str, ...] = REPLICAS, shard_bytes: int = SHARD_BYTES, spoil: int | None = None) -> DataFrame:
     """Writes the shards of each replica; returns the stored index, a row per shard.
 
     (shard, page_ids, urls, offsets): offsets has one more entry, the file's end.
+    A shard ends with the record that brings it to ``shard_bytes``. Files bear
+    the number of their attempt, and the index names those that counted. For
+    drills, ``spoil`` damages in every replica but the first the records whose
+    page_id it divides.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        task, fs_root = TaskContext.get(), file_system(path)
-        fs, root = fs_root
-        name = f"shard-{task.partitionId():06d}.warc.gz"
-        ids, urls, offsets, outs = [], [], [0], []
+        task = TaskContext.get()
+        fs, root = file_system(path)
+        number, name, ids, urls, offsets, outs = 0, "", [], [], [0], []
+
+        def end() -> pa.RecordBatch:
+            for out in outs:
+                out.close()
+            row = pa.RecordBatch.from_arrays(
+                [pa.array([name]), pa.array([ids], pa.list_(pa.int64())), pa.array([urls], pa.list_(pa.string())), pa.array([offsets], pa.list_(pa.int64()))],
+                names=["shard", "page_ids", "urls", "offsets"],
+            )
+            for x in (ids, urls, offsets, outs):
+                x.clear()
+            offsets.append(0)
+            return row
+
         for b in batches:
             for page, url, html in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
                 if not outs:
+                    name = f"shard-{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}.warc.gz"
+                    number += 1
                     for r in replicas:
                         fs.create_dir(f"{root}/{r}", recursive=True)
-                        outs.append(fs.open_output_stream(f"{root}/{r}/_attempt-{task.taskAttemptId()}"))
+                        outs.append(fs.open_output_stream(f"{root}/{r}/{name}", compression=None))
                 member = record(page, url, html)
-                for out in outs:
-                    out.write(member)
+                for i, out in enumerate(outs):
+                    out.write(_flipped(member) if i and spoil is not None and page is not None and page % spoil == 0 else member)
                 ids.append(page)
                 urls.append(url)
                 offsets.append(offsets[-1] + len(member))
-        for r, out in zip(replicas, outs, strict=False):
-            out.close()
-            fs.move(f"{root}/{r}/_attempt-{task.taskAttemptId()}", f"{root}/{r}/{name}")
+                if offsets[-1] >= shard_bytes:
+                    yield end()
         if ids:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([ids], pa.list_(pa.int64())), pa.array([urls], pa.list_(pa.string())), pa.array([offsets], pa.list_(pa.int64()))],
-                names=["shard", "page_ids", "urls", "offsets"],
-            )
+            yield end()
 
-    rows = pages.select(F.col("page_id").cast("long"), "url", "html").repartitionByRange("page_id").sortWithinPartitions("page_id", "url", "html")
+    # Rows that repeat an id are dealt by their content, so that no id is a task of its own.
+    rows = pages.select(F.col("page_id").cast("long"), "url", "html", F.xxhash64("url", "html").alias("h"))
+    rows = rows.repartitionByRange("page_id", "h").sortWithinPartitions("page_id", "h", "url", "html").select("page_id", "url", "html")
     return materialize(rows.mapInArrow(run, "shard string, page_ids array<bigint>, urls array<string>, offsets array<bigint>"), "index")
 
 
@@ -162,7 +189,7 @@ def audit(index: DataFrame, path: str, replicas: tuple[str, str] = REPLICAS) ->
 
 
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written to two replicas and audited."""
+    """All pages written to two replicas and audited; every page_id that DRILL divides is damaged in the second."""
     arrow_rows(spark, 500)
     path = scratch(spark, "warc")
-    return audit(write(table(spark, sf_dir, "pages"), path), path)
+    return audit(write(table(spark, sf_dir, "pages"), path, spoil=DRILL), path)
