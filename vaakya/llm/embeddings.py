@@ -1,17 +1,16 @@
-"""Near-duplicate vectors, by a pivot-permutation index where a label is large.
+"""Near-duplicate vectors by a pivot-permutation index.
 
-A label of up to ``WHOLE`` distinct vectors is one list, in which every pair is
-compared: its blocks copy a vector no more often than the index would. Only a
-larger label is split by the index, which may miss links. There, a vector is described by its ``NEAREST`` nearest of ``pivots`` reference
+A vector is described by its ``NEAREST`` nearest of ``pivots`` reference
 points, which come from a bounded sample and lie apart, so that no group of
-near copies holds several. Inverted lists are kept for sets of
-``SHARED`` pivots: a vector stands in the list of every such subset of its
-nearest pivots, so two vectors meet exactly if they share that many. A pair is
-verified in the smallest list that both stand in, in double precision, in
-blocks; a long list is cut into blocks of ``BLOCK`` vectors and every pair of
-blocks is a task's work of bounded size. Equal vectors of a label are one
-beforehand, with their number as weight. Only counts and one edge per vector
-and block leave a block.
+near copies holds several. Inverted lists are kept for sets of ``SHARED``
+pivots: a vector stands in the list of every such subset of its nearest
+pivots, so two vectors meet exactly if they share that many. Lists hold
+numbers; a vector joins the lists that have more than one. A pair is verified
+in the smallest list that both stand in, in double precision, in blocks; a
+long list is cut into blocks of ``BLOCK`` vectors and every pair of blocks is
+a task's work of bounded size. Equal vectors of a label are one beforehand,
+with their number as weight. Only counts and one edge per vector and block
+leave a block.
 
 Edge cases: a null label or a vector that is null, empty, zero or holds null
 or non-finite parts links with nothing; vectors of different lengths do not
@@ -41,13 +40,9 @@ PIVOTS = 64
 APART = 0.9
 BLOCK = 2048
 _SUBSETS = list(combinations(range(NEAREST), SHARED))
-#: Vectors of a label that are compared in full: as many blocks as the index has lists for a vector.
-WHOLE = BLOCK * len(_SUBSETS)
-#: The key of the list of a whole label.
-_ALL = -2
 
 
-def _unit(rows: list[list[float]]) -> np.ndarray:
+def _unit(rows: list[list[float]] | np.ndarray) -> np.ndarray:
     x = np.array(rows, np.float64)
     big = np.abs(x).max(1, keepdims=True)
     x = x / big
@@ -110,12 +105,14 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def links(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS, whole: int = WHOLE) -> tuple[DataFrame, DataFrame]:
-    """(rep, n) counts of linked vectors and (u, v) edges of (label, embedding, rep, weight)."""
-    spark = vectors.sparkSession
+def links(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS, single: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rep, n) counts of linked vectors and (u, v) edges of (label, embedding, rep, weight).
+
+    ``single`` tells that all parts are single-precision numbers, and so may travel as such.
+    """
+    spark, kind = vectors.sparkSession, "<f4" if single else "<f8"
     vectors = vectors.withColumn("d", F.size("embedding"))
-    many = materialize(vectors.groupBy("label", "d").agg(F.count("*").alias("m")).where(F.col("m") > whole).select("label", "d", F.lit(True).alias("large")), "large")
-    sample = vectors.join(many, ["label", "d"], "left_semi").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").collect()  # at most SAMPLE rows
+    sample = vectors.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").collect()  # at most SAMPLE rows
     by_dim: dict[int, list] = {}
     for r in sample:
         by_dim.setdefault(len(r[0]), []).append(r[0])
@@ -125,42 +122,42 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS
         import pyarrow as pa
 
         for b in batches:
-            size, large = b.column("d").to_numpy(), b.column("large").to_numpy(zero_copy_only=False)
-            for d, split in sorted(set(zip(size.tolist(), large.tolist(), strict=True))):
-                part = b.filter(pa.array((size == d) & (large == split)))
-                x, own = _unit(part.column("embedding").to_pylist()), share.value.get(d) if split else None
-                near = nearest(x, own) if own is not None else np.full((len(x), NEAREST), -1, np.int64)
-                keys = [np.unique(k) for k in list_keys(near)] if split else [np.array([_ALL])] * len(x)
-                reps = np.repeat(np.arange(part.num_rows), [len(k) for k in keys])
-                packed = pa.array([r.tobytes() for r in near.astype("<i2")], pa.binary())
-                take = lambda c: part.column(c).take(pa.array(reps))  # noqa: B023, E731
+            size = b.column("d").to_numpy()
+            for d in np.unique(size).tolist():
+                part = b.filter(pa.array(size == d))
+                raw = np.array(part.column("embedding").to_pylist(), np.float64)
+                # Where the sample has no vector of this length, all meet in one list.
+                own = share.value.get(d, np.zeros((0, d)))
+                near = nearest(_unit(raw), own)
+                keys = [np.unique(k) for k in list_keys(near)]
+                packed, x = pa.array([r.tobytes() for r in near.astype("<i2")], pa.binary()), pa.array([r.tobytes() for r in raw.astype(kind)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [take("label"), take("d"), pa.array(np.concatenate(keys)), take("rep"), take("weight"), packed.take(pa.array(reps)), pa.array([r.tobytes() for r in x.astype("<f8")], pa.binary()).take(pa.array(reps))],
-                    names=["label", "d", "key", "rep", "weight", "near", "x"],
+                    [part.column("label"), part.column("d"), pa.array(keys, pa.list_(pa.int64())), part.column("rep"), part.column("weight"), packed, x],
+                    names=["label", "d", "keys", "rep", "weight", "near", "x"],
                 )
 
-    posted = materialize(
-        vectors.join(many, ["label", "d"], "left")
-        .select("label", "d", "rep", "weight", "embedding", F.coalesce("large", F.lit(False)).alias("large"))
-        .mapInArrow(post, "label long, d int, key long, rep long, weight long, near binary, x binary"),
-        "lists",
+    placed = materialize(
+        vectors.select("label", "d", "rep", "weight", "embedding").mapInArrow(post, "label long, d int, keys array<bigint>, rep long, weight long, near binary, x binary"),
+        "placed",
     )
-    sizes = posted.groupBy("label", "d", "key").agg(F.count("*").alias("m")).where("m > 1")
+    lists = placed.select("label", "d", F.explode("keys").alias("key"), "rep")
+    sizes = lists.groupBy("label", "d", "key").agg(F.count("*").alias("m")).where("m > 1")
     # A list of b blocks becomes b (b + 1) / 2 tiles; a vector stands in b of them.
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("b")).cast("int")
     tiles = (
-        posted.join(sizes.withColumn("b", blocks), ["label", "d", "key"])
+        lists.join(sizes.withColumn("b", blocks), ["label", "d", "key"])
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
-        .select("label", "d", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "weight", "near", "x")
+        .select("label", "d", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep")
+        .join(placed.select("rep", "weight", "near", "x"), "rep")
     )
 
     def verify(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         def solve(rows: list[dict]) -> pa.RecordBatch | None:
-            x = np.frombuffer(b"".join(r["x"] for r in rows), "<f8").reshape(len(rows), -1)
+            x = _unit(np.frombuffer(b"".join(r["x"] for r in rows), kind).reshape(len(rows), -1))
             near = np.frombuffer(b"".join(r["near"] for r in rows), "<i2").reshape(-1, NEAREST).astype(np.int64)
             rep, weight = np.array([r["rep"] for r in rows]), np.array([r["weight"] for r in rows])
             own = np.array([r["own"] for r in rows])
@@ -174,9 +171,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS
                 u, v = u[ok], v[ok]
                 for s in range(0, len(u), 200_000):
                     a, b = u[s : s + 200_000], v[s : s + 200_000]
-                    good = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
-                    if rows[0]["key"] != _ALL:
-                        good &= smallest_shared(near[a], near[b]) == rows[0]["key"]
+                    good = (np.einsum("ij,ij->i", x[a], x[b]) >= threshold) & (smallest_shared(near[a], near[b]) == rows[0]["key"])
                     a, b = a[good], b[good]
                     n += np.bincount(a, weight[b], len(rows)).astype(np.int64) + np.bincount(b, weight[a], len(rows)).astype(np.int64)
                     us.append(a)
@@ -204,7 +199,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS
     return done.groupBy("rep").agg(F.sum("n").alias("n")), done.select(F.col("rep").alias("u"), F.col("root").alias("v"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS, whole: int = WHOLE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of (vec_id, embedding, label)."""
     arrow_rows(vectors.sparkSession, 2000)
     e = F.col("embedding")
@@ -215,13 +210,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, pivots: in
         .withColumn("same", F.when(F.col("ok"), F.sha2(F.array_join(F.transform("embedding", lambda v: (v + 0.0).cast("string")), ",").cast("binary"), 256))),
         "vectors",
     )
-    good = rows.where("ok")
-    classes = materialize(good.groupBy("label", "same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")), "classes")
-    counts, edges = links(classes, threshold, pivots, whole)
-    named = good.join(classes.select("label", "same", "rep"), ["label", "same"]).groupBy("vec_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"))
-    comp = connected_components(edges.union(named.select("u", "v")))
-    info = classes.select("label", "same", "rep", "weight").join(counts, "rep", "left").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    info = info.select("label", "same", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("comp"))
+    good = rows.where("ok").drop("ok")
+    classes = good.groupBy("label", "same").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    counts, edges = links(classes.select("label", "embedding", "rep", "weight"), threshold, pivots, vectors.schema["embedding"].dataType.simpleString() == "array<float>")
+    # A vec_id that stands in several classes joins them.
+    member = good.join(classes.select("label", "same", "rep"), ["label", "same"]).select("vec_id", "rep")
+    several = member.groupBy("vec_id").agg(F.min("rep").alias("u"), F.max("rep").alias("hi")).where("u <> hi")
+    comp = connected_components(edges.union(member.join(several, "vec_id").select("u", F.col("rep").alias("v")).where("u <> v")))
+    info = classes.drop("embedding").join(counts, "rep", "left").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    info = info.select("label", "same", "first", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("group"))
+    smallest = info.groupBy("group").agg(F.min("first").alias("comp"))
+    info = info.join(smallest, "group").select("label", "same", "links", "comp")
     out = rows.drop("embedding").join(info, ["label", "same"], "left")
     comp_id = F.coalesce("comp", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), comp_id).alias("component_id")).withColumn(
