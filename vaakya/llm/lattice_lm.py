@@ -4,10 +4,12 @@ The pieces of an existing public vocabulary, with weights learned here, span a
 lattice over each word; its log-space forward recursion adds up all
 segmentations. Weights start from the vocabulary's own order of pieces and
 take one step of expectation and maximisation over the training words, with
-their counts. A word has one more arc, the whole word with its training
-frequency; the share of that arc is one minus the share of training tokens
-that are words seen once. The probability of a text is the product over its
-words and an end token.
+their counts. The end of a text is a symbol beside the pieces, as frequent as
+ends are among pieces and ends in training. ``score`` is the probability that
+the lattice gives to the text, over all its segmentations.
+
+``mixed_score`` blends in a model of whole words: a word's share in training,
+weighted by one minus the share of training tokens that are words seen once.
 
 Training words' counts: the ``FREQUENT`` most frequent words go to the tasks
 as hashes and counts; words below are looked up by a join, so the corpus's
@@ -68,11 +70,12 @@ def word_hash(word: bytes) -> int:
 class Lattice:
     """Piece probabilities, and forward and backward recursions over a word."""
 
-    def __init__(self, pieces: list[str], probs: np.ndarray):
+    def __init__(self, pieces: list[str], probs: np.ndarray, end: float = 0.0):
+        """``probs`` are weights of the pieces; ``end`` is the probability of the end, which the pieces leave."""
         self.pieces, self.index = pieces, {p: i for i, p in enumerate(pieces)}
         # Every beginning of a piece, with the piece's number or -1: where none goes on, neither do longer ones.
         self.starts = {p[:i]: -1 for p in pieces for i in range(1, len(p))} | self.index
-        self.prob = probs / probs.sum()
+        self.prob = probs / probs.sum() * (1 - end)
         self.logs, self.plain = np.log(self.prob).tolist(), self.prob.tolist()
         self.byte = [self.index.get(f"<0x{b:02X}>") for b in range(256)]
 
@@ -203,11 +206,29 @@ class Lattice:
                 b[i] = top + log(1 + exp(low - top)) if top - low < 40 else top
 
 
-def worker_state(name: str, pieces: list[str], soft: np.ndarray) -> tuple[Lattice, dict, dict]:
-    """The lattice, frequent words and other words of this Python worker; a function of the module, so that tasks share them."""
+class Words:
+    """A worker's lattice, and what it has worked out of frequent and of other words; the latter in a young and an old table."""
+
+    def __init__(self, lattice: Lattice):
+        self.lattice, self.known, self.others, self.old = lattice, {}, {}, {}
+
+    def unknown(self, words: set[bytes]) -> set[bytes]:
+        """Those of ``words`` that have to be worked out; tables that are full make room first."""
+        if len(self.known) > _KNOWN_WORDS:
+            self.known = {}
+        if len(self.others) > _OTHER_WORDS:
+            self.others, self.old = {}, self.others
+        new = words.difference(self.known, self.others)
+        again = new & self.old.keys()
+        self.others.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        return new - again
+
+
+def worker_state(name: str, pieces: list[str], soft: np.ndarray, end: float) -> Words:
+    """The words of this Python worker; a function of the module, so that tasks share them."""
     if name not in _WORKER:
         _WORKER.clear()
-        _WORKER[name] = (Lattice(pieces, soft), {}, {})
+        _WORKER[name] = Words(Lattice(pieces, soft, end))
     return _WORKER[name]
 
 
@@ -244,8 +265,8 @@ def train(docs: DataFrame, path: str, frequent: int = FREQUENT) -> tuple[DataFra
     """The stored counts, and what every task needs of the model."""
     spark = docs.sparkSession
     counts = materialize(_count(docs), "counts")
-    n, v, once = counts.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long"))).first()
-    n, v, once = n or 0, v or 0, once or 0
+    n, v, once, ends = counts.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long")), F.sum(F.when(F.col("h") == END, F.col("c")))).first()
+    n, v, once, ends = n or 0, v or 0, once or 0, ends or 0
     first = Lattice.load(path)
     share = spark.sparkContext.broadcast(first)
 
@@ -273,17 +294,17 @@ def train(docs: DataFrame, path: str, frequent: int = FREQUENT) -> tuple[DataFra
     top = counts.where((F.col("c") >= least) | (F.col("h") == END)).select("h", "c").collect() if n else []  # frequent + 1 rows at most
     h = np.array([r[0] for r in top] or [], np.int64)
     order = np.argsort(h)
-    return counts, {"name": uuid.uuid4().hex, "n": n, "v": v, "beta": min(0.5, max(once / max(n, 1), 1e-4)), "least": least, "h": h[order], "c": np.array([r[1] for r in top] or [], np.int64)[order], "pieces": first.pieces, "soft": soft}
+    return counts, {"name": uuid.uuid4().hex, "n": n, "v": v, "beta": min(0.5, max(once / max(n, 1), 1e-4)), "end": (ends + 0.1) / (ends + float(soft.sum()) + 0.2), "least": least, "h": h[order], "c": np.array([r[1] for r in top] or [], np.int64)[order], "pieces": first.pieces, "soft": soft}
 
 
 def score(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score) of each document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     counts, model = train(docs, path, frequent)
     share = spark.sparkContext.broadcast(model)
     n, v, beta = model["n"], model["v"], model["beta"]
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, full double, h long, times long, inner double"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, full double, pure double, h long, times long, inner double"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -291,7 +312,7 @@ def score(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
         from pyspark import TaskContext
 
         m = share.value
-        lattice, known, others = worker_state(m["name"], m["pieces"], m["soft"])
+        state = worker_state(m["name"], m["pieces"], m["soft"], m["end"])
         row = TaskContext.get().partitionId() << 33
 
         def learn(words: list[bytes]) -> None:
@@ -299,41 +320,40 @@ def score(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
             at = np.minimum(np.searchsorted(m["h"], hs), max(len(m["h"]) - 1, 0))
             cs = np.where(m["h"][at] == hs, m["c"][at], 0) if len(m["h"]) else np.zeros(len(hs), np.int64)
             for w, h, c in zip(words, hs.tolist(), cs.tolist(), strict=True):
-                inner = lattice.marginal(w.decode("utf-8", "surrogatepass"))
+                inner = state.lattice.marginal(w.decode("utf-8", "surrogatepass"))
                 if c:
                     # log of (1 - beta) c / n + beta exp(inner)
                     a, b = log((1 - beta) * c / n), log(beta) + inner
-                    known[w] = (log((c + 0.1) / (n + 0.1 * (v + 1))), max(a, b) + log(1 + exp(-abs(a - b))), None)
+                    state.known[w] = (log((c + 0.1) / (n + 0.1 * (v + 1))), max(a, b) + log(1 + exp(-abs(a - b))), inner, None)
                 else:
-                    others[w] = (0.0, inner, h)
+                    state.others[w] = (0.0, 0.0, inner, h)
 
         end = int(m["c"][np.searchsorted(m["h"], END)]) if n else 0
         end_base = log((end + 0.1) / (n + 0.1 * (v + 1)))
         end_full = log((1 - beta) * end / n) if end else log(beta)
+        end_pure = log(m["end"])
         for b in batches:
             ids, cutd = b.column(0).to_pylist(), [cut(t) for t in b.column(1).to_pylist()]
-            if len(known) > _KNOWN_WORDS:
-                known.clear()
-            if len(others) > _OTHER_WORDS:
-                others.clear()
-            learn(list(set().union(*cutd).difference(known, others)))
-            out: list[list] = [[] for _ in range(10)]
+            learn(list(state.unknown(set().union(*cutd))))
+            known, others = state.known, state.others
+            out: list[list] = [[] for _ in range(11)]
             for doc, words in zip(ids, cutd, strict=True):
-                base, full, hits, rare = end_base, end_full, int(end > 0), []
+                base, full, pure, hits, rare = end_base, end_full, end_pure, int(end > 0), []
                 for w, times in Counter(words).items():
-                    x, y, h = known.get(w) or others[w]
+                    x, y, z, h = known.get(w) or others[w]
+                    pure += times * z
                     if h is None:
                         base += times * x
                         full += times * y
                         hits += times
                     else:
-                        rare.append((h, times, y))
-                own = (row, doc, held_out(doc), len(words) + 1, hits, base, full)
+                        rare.append((h, times, z))
+                own = (row, doc, held_out(doc), len(words) + 1, hits, base, full, pure)
                 for tail in [(None, None, None), *rare]:
-                    for c, value in zip(out, (*(own if tail[0] is None else (row, None, None, None, None, None, None)), *tail), strict=True):
+                    for c, value in zip(out, (*(own if tail[0] is None else (row, None, None, None, None, None, None, None)), *tail), strict=True):
                         c.append(value)
                 row += 1
-            types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
+            types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
     parts = materialize(docs.mapInArrow(run, schema), "parts")
@@ -358,7 +378,8 @@ def score(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
         (F.col("n_known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         ((F.col("base") + F.coalesce("b", F.lit(0.0))) * tens).alias("base_score"),
-        ((F.col("full") + F.coalesce("f", F.lit(0.0))) * tens).alias("score"),
+        (F.col("pure") * tens).alias("score"),
+        ((F.col("full") + F.coalesce("f", F.lit(0.0))) * tens).alias("mixed_score"),
     )
 
 
