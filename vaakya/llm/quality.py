@@ -162,15 +162,22 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
         f = Features()
         for b in batches:
             sets = [s.astype("<i4").tobytes() for s in f.of(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["grade", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), b.column(2)], names=["grade", "ids", "id"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    rows = texts.join(F.broadcast(some), "_id").orderBy("_id", "_grade", "text").limit(limit).select("_grade", "text").mapInArrow(run, "grade int, ids binary").collect()  # at most limit rows
+    # Texts are hashed where they lie; only their features are sorted.
+    sets = texts.join(F.broadcast(some), "_id").select("_grade", "text", "_id").mapInArrow(run, "grade int, ids binary, id long")
+    rows = sets.orderBy("id", "grade", "ids").limit(limit).select("grade", "ids").collect()  # at most limit rows
     return fit([np.frombuffer(r["ids"], "<i4").astype(np.int64) for r in rows], np.array([r["grade"] for r in rows], int))
 
 
 def grade(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
     """(doc_id, expected_grade, tail, kept) of each document; tail is P(best grade)."""
+    return _graded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, keep)
+
+
+def _graded(docs: DataFrame, model: Model, keep: float) -> DataFrame:
+    """``grade`` of (doc_id, text, ...), with the columns behind the text."""
     share = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
@@ -189,8 +196,8 @@ def grade(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
 def select(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
     """``docs`` whose best grade has a probability of ``keep`` or more."""
     names = docs.columns
-    wide = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_t"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(names)])
-    return grade(wide, model, keep).where("kept").select(*[F.col(f"_x{i}").alias(c) for i, c in enumerate(names)])
+    wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_t"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(names)])
+    return _graded(wide, model, keep).where("kept").select(*[F.col(f"_x{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
