@@ -52,6 +52,22 @@ def test_alignment(spark):
     assert many.select(align.word_distance(F.col("a"), F.col("b"))).first()[0] == 2
 
 
+def test_batched_paths_are_the_same(spark):
+    """Paths by whole tables against paths by folds, in several batches, with empty sides."""
+    import random
+
+    rng = random.Random(7)
+    rows = [(i, rng.choices("abcd", k=rng.randint(0, 9)), rng.choices("abcd", k=rng.randint(0, 9))) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, a array<string>, b array<string>")
+    got = df.select(align.edit_path(F.col("a"), F.col("b"))["path"].alias("p"), align.edit_paths("a", "b").alias("q")).collect()
+    assert all(r.p == r.q for r in got)
+    align._CELLS, kept = 50, align._CELLS
+    try:
+        assert align.paths([r[1] for r in rows], [r[2] for r in rows]) == [r.p for r in df.orderBy("i").select(align.edit_path(F.col("a"), F.col("b"))["path"].alias("p")).collect()]
+    finally:
+        align._CELLS = kept
+
+
 def test_classes(spark):
     got = each(spark, lambda w: classify.classify_word(w), "और", "कंप्यूटर", "hello", "।।", "्क")
     assert [(r.classification, r.confidence) for r in got] == [("correct", "high"), ("correct", "high"), ("incorrect", "high"), ("incorrect", "high"), ("incorrect", "high")]
@@ -86,7 +102,7 @@ def test_unreliable_categories(spark):
     rows = [(i, f"w{i}", "loan", "valid" if i < 4 else "typo", "correct") for i in range(6)]
     rows += [(i, f"x{i}", "name", "valid", "correct" if i else "incorrect") for i in range(4)] + [(0, "y", "rare", "typo", "correct")]
     got = transcripts.unreliable_categories(spark.createDataFrame(rows, "pos int, word string, word_category string, analysis string, system_classification string")).collect()
-    assert [tuple(r) for r in got] == [("loan", 6, 2, "33.3%", [f"w{i}" for i in range(5)])]
+    assert [tuple(r) for r in got] == [("loan", 6, 2, "33.3%", [f"w{i}" for i in range(5)], "The system has limited coverage for loan words.")]
 
 
 def test_wer_comparison(spark):

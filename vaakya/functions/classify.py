@@ -60,8 +60,8 @@ def severity(rate: Column) -> Column:
     return F.when(rate <= 0.33, "low").when(rate <= 0.66, "medium").otherwise("high")
 
 
-def classify_word(word: Column, freq: Column | None = None, total: Column | None = None) -> Column:
-    """(classification, confidence, reason) of a word; ``freq`` and ``total`` are its count and all counts."""
+def classify_word(word: Column, freq: Column | None = None, total: Column | None = None, known_correct: tuple[str, ...] = ()) -> Column:
+    """(classification, confidence, reason) of a word; ``freq`` and ``total`` are its count and all counts, ``known_correct`` more words that are right."""
     clean = strip(word, DANDA + ",.!?()[]{}\"' ")
     bad = F.regexp_extract(clean, r"([^\x{0900}-\x{097F}\p{Nd}\-])", 1)
     much = F.get(F.filter(F.split(clean, ""), lambda c: c.rlike(r"[\x{0900}-\x{097F}]") & (F.length(clean) - F.length(F.replace(clean, c, F.lit(""))) > 4)), F.lit(0))
@@ -72,7 +72,7 @@ def classify_word(word: Column, freq: Column | None = None, total: Column | None
     counted = lambda text: F.concat(F.lit(text + " (freq="), n.cast("string"), F.lit(")"))
     return (
         F.when(clean == "", out("incorrect", "high", "empty or punctuation-only"))
-        .when(within(clean, L.STOPWORDS), out("correct", "high", "in known Hindi dictionary/stopwords"))
+        .when(within(clean, [*L.STOPWORDS, *known_correct]), out("correct", "high", "in known Hindi dictionary/stopwords"))
         .when(within(clean, L.VALID_LOANS), out("correct", "high", "valid English word in Devanagari (per transcription guidelines)"))
         .when(bad != "", out("incorrect", "high", F.concat(F.lit("invalid characters: non-Devanagari character: '"), bad, F.lit("' (U+"), hexed, F.lit(")"))))
         .when(clean.rlike(r"[\x{093E}-\x{094D}]{3,}"), out("incorrect", "high", "multiple consecutive matras/halants"))
@@ -104,14 +104,9 @@ def analysis_notes(word: Column, category: Column) -> Column:
     """Notes for the review of a word, joined by semicolons."""
     parts = F.split(word, "-")
     listed = F.concat(F.lit("['"), F.array_join(parts, "', '"), F.lit("']"))
-    fixed = {
-        "english_transliteration": "Likely an English word in Devanagari — valid per transcription guidelines; Should be classified as CORRECT",
-        "onomatopoeia": "Sound word or interjection — likely valid in conversational speech; May not appear in standard dictionaries",
-        "abbreviation": "Very short word — could be valid particle or abbreviation; Context needed to determine correctness",
-    }
     pairs = F.size(F.filter(F.split(word, ""), lambda c: c == _HALANT)) - F.size(F.filter(F.split(F.regexp_replace(word, f"{_HALANT}+", _HALANT), ""), lambda c: c == _HALANT))
-    double = F.array_join(F.array_repeat(F.lit("Contains double halant — likely a typo"), pairs), "; ")
+    double = F.array_join(F.array_repeat(F.lit(L.DOUBLE_HALANT), pairs), "; ")
     out = F.when(category == "compound", F.concat(F.lit("Compound word with "), F.size(parts).cast("string"), F.lit(" parts: "), listed, F.lit("; Check if both parts are valid Hindi words")))
-    for name, text in fixed.items():
+    for name, text in L.NOTES.items():
         out = out.when(category == name, text)
-    return out.otherwise(F.when(pairs > 0, double).otherwise("Standard Hindi word form — may be uncommon/dialectal; Check in a comprehensive Hindi dictionary"))
+    return out.otherwise(F.when(pairs > 0, double).otherwise(L.STANDARD_NOTE))

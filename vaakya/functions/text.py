@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon as L
@@ -197,7 +197,10 @@ def suppress_repetitions(text: Column, ngrams: tuple[int, ...] = (2, 3)) -> Colu
 
 
 def resolve_confusions(text: Column, freq: Column) -> Column:
-    """Unknown words by their most frequent one-letter variant; ``freq`` is a map of counts."""
+    """Unknown words by their most frequent one-letter variant; ``freq`` is a map of counts.
+
+    For a vocabulary too large for a map in every row, see ``resolve_by_join``.
+    """
 
     def one(w: Column) -> Column:
         tries = [
@@ -214,6 +217,27 @@ def resolve_confusions(text: Column, freq: Column) -> Column:
     return join(F.transform(tokens(text), one))
 
 
+def variants(word: Column) -> Column:
+    """A word's one-letter variants in order; none where it has no confusable letter."""
+    tries = [F.when(F.contains(word, F.lit(s)), F.concat(F.substring_index(word, s, 1), F.lit(t), F.substr(word, F.position(F.lit(s), word) + len(s)))) for s, t in L.CONFUSABLE]
+    return F.array_compact(F.array(*tries))
+
+
+def resolve_by_join(rows: DataFrame, freq: DataFrame, key: str) -> DataFrame:
+    """(key, resolved) of (key, text): ``resolve_confusions`` with a table (word, freq) that is joined.
+
+    Distinct words meet the table, once as they stand and once by variant, so
+    neither vocabulary is broadcast or gathered.
+    """
+    each = rows.select(key, F.posexplode(tokens(F.col("text"))).alias("pos", "word"))
+    words = each.select("word").distinct()
+    unknown = words.join(freq, "word", "left_anti")
+    tried = unknown.select("word", F.posexplode(variants(F.col("word"))).alias("i", "variant")).join(freq.select(F.col("word").alias("variant"), "freq"), "variant").where("freq > 0")
+    best = tried.groupBy("word").agg(F.max_by("variant", F.struct("freq", -F.col("i"))).alias("best"))
+    out = each.join(best, "word", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("best", "word").alias("w")))).alias("l"))
+    return rows.select(key).join(out, key, "left").select(key, F.coalesce(join(F.transform("l", lambda x: x["w"])), F.lit("")).alias("resolved"))
+
+
 def fix(text: Column, freq: Column, compose: bool = True) -> Column:
     """Normalised, without repetitions, confusions resolved.
 

@@ -52,4 +52,7 @@ def nfc(text: Column) -> Column:
     def composed(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFC")
 
-    return F.when(text.rlike(r"[^\x00-\x7F]"), composed(text)).otherwise(text)
+    # A UDF runs for every row, whatever is around it, so it is given nothing where there is nothing to compose:
+    # in Latin text, only letters from U+0300 on.
+    loose = text.rlike(r"[^\x00-\x{02FF}]")
+    return F.coalesce(composed(F.when(loose, text)), text)

@@ -6,23 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import align
-from ..functions.tokens import let, tokens
+from ..functions.tokens import tokens
 
 
-def aligned_row(ref: Column, hyp: Column) -> Column:
+def aligned_row(ref: Column, hyp: Column, path: Column) -> Column:
     """The words of an output by column of the reference; insertions take columns, and the row ends with the reference."""
-    ops = lambda h: align.path_ops(align.edit_path(ref, h)["path"])
-    words = let(hyp, lambda h: F.transform(ops(h), lambda o: F.when(o["op"] != "D", F.get(h, o["j"]))))
+    words = F.transform(align.path_ops(path), lambda o: F.when(o["op"] != "D", F.get(hyp, o["j"])))
     return F.slice(words, F.lit(1), F.size(ref))
 
 
 def align_matrix(utterances: DataFrame, models: int = 5) -> DataFrame:
     """(utt_id, row, pos, word): row 0 is the reference, gaps are null."""
-    ref = tokens(F.col("reference"))
-    rows = [F.struct(F.lit(0).alias("row"), ref.alias("words"))]
-    for k in range(1, models + 1):
-        rows.append(F.struct(F.lit(k).alias("row"), aligned_row(ref, tokens(F.coalesce(F.col(f"model_{k}"), F.lit("")))).alias("words")))
-    each = utterances.select("utt_id", F.explode(F.array(*rows)).alias("r"))
+    split = [tokens(F.col("reference")).alias("ref")] + [tokens(F.coalesce(F.col(f"model_{k}"), F.lit(""))).alias(f"h{k}") for k in range(1, models + 1)]
+    cut = utterances.select("utt_id", *split)
+    cut = cut.select("*", *[align.edit_paths("ref", f"h{k}").alias(f"p{k}") for k in range(1, models + 1)])
+    rows = [F.struct(F.lit(0).alias("row"), F.col("ref").alias("words"))]
+    rows += [F.struct(F.lit(k).alias("row"), aligned_row(F.col("ref"), F.col(f"h{k}"), F.col(f"p{k}")).alias("words")) for k in range(1, models + 1)]
+    each = cut.select("utt_id", F.explode(F.array(*rows)).alias("r"))
     return each.select("utt_id", F.col("r.row").alias("row"), F.posexplode("r.words").alias("pos", "word"))
 
 
@@ -68,7 +68,7 @@ def lattice_wer(pairs: DataFrame, bins: DataFrame) -> DataFrame:
     joined = pairs.join(flat, "utt_id", "left")
     hyp, ref = tokens(F.col("prediction")), tokens(F.col("reference"))
     cells = F.coalesce(F.col("l"), F.array().cast("array<struct<pos:int,best:string,words:array<string>>>"))
-    joined = joined.withColumn("ops", align.path_ops(align.edit_path(F.transform(cells, lambda c: c["best"]), hyp)["path"]))
+    joined = joined.withColumn("path", align.edit_paths(F.transform(cells, lambda c: c["best"]), hyp)).withColumn("ops", align.path_ops(F.col("path")))
     wrong = F.filter("ops", lambda o: (o["op"] != "M") & ~F.coalesce((o["op"] == "S") & F.array_contains(F.get(cells, o["i"])["words"], F.get(hyp, o["j"])), F.lit(False)))
     n = F.size(cells)
     return joined.select("utt_id", "model_id", align.wer(ref, hyp).alias("standard_wer"), F.when(n > 0, F.size(wrong) / n).otherwise(0.0).alias("lattice_wer"))
@@ -80,3 +80,10 @@ def model_summary(rates: DataFrame) -> DataFrame:
     return rates.groupBy("model_id").agg(
         F.round(F.avg(s), 9).alias("mean_standard"), F.round(F.avg(t), 9).alias("mean_lattice"), F.count_if(t < s).alias("improved"), F.count_if(t == s).alias("unchanged"), F.count_if(t > s).alias("worsened")
     )
+
+
+def as_documents(bins: DataFrame) -> DataFrame:
+    """(utt_id, bins): the lattice of each utterance, its columns in order and their words by confidence."""
+    own = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "word", "votes", "confidence", "is_best")))
+    cols = bins.groupBy("utt_id", "pos").agg(F.transform(own, lambda x: x.dropFields("c")).alias("words"))
+    return cols.groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("bins"))

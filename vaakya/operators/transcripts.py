@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import align, classify
-from ..functions.tokens import tokens
+from ..functions import lexicon as L
+from ..functions.tokens import SPACE, literal_map, tokens
 
 
 def unpivot_models(utterances: DataFrame, models: int = 5) -> DataFrame:
@@ -29,10 +30,12 @@ def corpus_wer(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def wer_comparison(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """(raw_wer, cleaned_wer, improvement, improvement_pct) of two corpora."""
-    both = corpus_wer(raw).select(F.col("corpus_wer").alias("raw_wer")).join(corpus_wer(cleaned).select(F.col("corpus_wer").alias("cleaned_wer")), F.lit(True))
+    """(raw_wer, cleaned_wer, improvement, improvement_pct) of two corpora, rounded at the end."""
+    rate = lambda df, name: df.agg(F.coalesce(F.sum("edits") / F.nullif(F.sum("ref_words"), F.lit(0)), F.lit(0.0)).alias(name))
+    both = rate(raw, "raw_wer").join(rate(cleaned, "cleaned_wer"), F.lit(True))
     gain = F.col("raw_wer") - F.col("cleaned_wer")
-    return both.select("raw_wer", "cleaned_wer", gain.alias("improvement"), F.when(F.col("raw_wer") > 0, gain / F.col("raw_wer") * 100).otherwise(0.0).alias("improvement_pct"))
+    pct = F.when(F.col("raw_wer") > 0, gain / F.col("raw_wer") * 100).otherwise(0.0)
+    return both.select(*[F.round(c, 9).alias(n) for c, n in ((F.col("raw_wer"), "raw_wer"), (F.col("cleaned_wer"), "cleaned_wer"), (gain, "improvement"), (pct, "improvement_pct"))])
 
 
 def sample_errors(rows: DataFrame, n: int = 25, order: tuple[str, ...] = ("wer", "utt_id", "model_id")) -> DataFrame:
@@ -67,6 +70,36 @@ def taxonomy(rows: DataFrame, examples: int = 5) -> DataFrame:
     return counts.join(first, "category").select("category", "errors", F.transform("e", lambda x: x["prediction"]).alias("examples"))
 
 
+def propose_fixes(errors: DataFrame, top: int = 3) -> DataFrame:
+    """The most frequent categories of ``taxonomy`` with what is proposed for each: a top-k report."""
+    titles, ways = (literal_map({k: v[i] for k, v in L.PROPOSALS.items()}) for i in (0, 1))
+    best = errors.orderBy(F.desc("errors"), "category").limit(top)
+    title = F.coalesce(F.try_element_at(titles, "category"), F.concat(F.lit("Fix for "), F.col("category")))
+    return best.select("category", "errors", title.alias("fix_title"), F.coalesce(F.try_element_at(ways, "category"), F.lit("Custom fix needed")).alias("implementation"), "examples")
+
+
+def by_position(left: DataFrame, right: DataFrame, pos: str = "pos") -> DataFrame:
+    """Rows of the same place side by side; the longer side is cut to the shorter one."""
+    return left.join(right, pos)
+
+
+def low_confidence_accuracy(reviewed: DataFrame) -> DataFrame:
+    """(reviewed, correct, accuracy) of the system's verdicts on reviewed words, by their notes."""
+    a, right = F.lower("analysis"), F.col("system_classification") == "correct"
+    good = F.contains(a, F.lit("valid")) | F.contains(a, F.lit("correct"))
+    hit = F.count_if((right & good) | (~right & ~good))
+    return reviewed.agg(F.count("*").alias("reviewed"), hit.alias("correct"), F.round(F.when(F.count("*") > 0, hit / F.count("*")).otherwise(0.0), 9).alias("accuracy"))
+
+
+def number_segments(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds segment_id, seg_000000 on, in the given order: counts of range partitions first, so that no task holds all rows."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33))
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "before")
+    out = placed.join(F.broadcast(before), "_p")
+    return out.withColumn("segment_id", F.format_string("seg_%06d", F.col("before") + F.col("_i"))).drop("_p", "_i", "before")
+
+
 def review_low_confidence(words: DataFrame, n: int = 50) -> DataFrame:
     """Every n-th word of low confidence by ``pos``, with its category and notes."""
     low = words.where("confidence = 'low'")
@@ -80,15 +113,20 @@ def review_low_confidence(words: DataFrame, n: int = 50) -> DataFrame:
 
 
 def unreliable_categories(reviewed: DataFrame) -> DataFrame:
-    """Categories of two words or more where over 30 % of the system's verdicts do not fit the notes."""
+    """Categories of two words or more where over 30 % of the system's verdicts do not fit the notes, with a reason.
+
+    Examples are the first five by ``pos``: ranked, so that no category is gathered whole.
+    """
     a, right = F.lower("analysis"), F.col("system_classification") == "correct"
     good, bad = F.contains(a, F.lit("valid")) | F.contains(a, F.lit("correct")), F.contains(a, F.lit("typo")) | F.contains(a, F.lit("incorrect"))
     fits = (right & good) | (~right & bad)
-    first = F.slice(F.array_sort(F.collect_list(F.struct("pos", "word"))), 1, 5)
-    out = reviewed.groupBy("word_category").agg(F.count("*").alias("total_words"), F.count_if(~fits).alias("system_errors"), first.alias("e"))
+    ranked = reviewed.withColumn("i", F.row_number().over(Window.partitionBy("word_category").orderBy("pos")))
+    first = F.array_sort(F.collect_list(F.when(F.col("i") <= 5, F.struct("pos", "word"))))
+    out = ranked.groupBy("word_category").agg(F.count("*").alias("total_words"), F.count_if(~fits).alias("system_errors"), first.alias("e"))
     rate = F.col("system_errors") / F.col("total_words")
     return out.where((F.col("total_words") >= 2) & (rate > 0.3)).select(
-        F.col("word_category").alias("category"), "total_words", "system_errors", F.format_string("%.1f%%", rate * 100).alias("error_rate"), F.transform("e", lambda x: x["word"]).alias("examples")
+        F.col("word_category").alias("category"), "total_words", "system_errors", F.format_string("%.1f%%", rate * 100).alias("error_rate"), F.transform("e", lambda x: x["word"]).alias("examples"),
+        F.coalesce(F.try_element_at(literal_map(L.REASONS), "word_category"), F.concat(F.lit("The system has limited coverage for "), F.col("word_category"), F.lit(" words."))).alias("reason"),
     )
 
 
@@ -101,7 +139,8 @@ def valid_segments(segments: DataFrame, rate: int = 16_000, least: float = 0.5,
     """Segments with text that, clipped to the recording's n_samples, last between the limits."""
     first = F.greatest(F.lit(0), (F.col("start") * rate).cast("bigint"))
     last = F.least(F.col("n_samples"), (F.col("end") * rate).cast("bigint"))
-    out = segments.withColumn("text", F.trim("text")).where("text <> '' and end > start")
+    out = segments.withColumn("text", F.regexp_replace("text", f"^{SPACE}+|{SPACE}+$", ""))
+    out = out.withColumn("start", F.coalesce("start", F.lit(0.0))).withColumn("end", F.coalesce("end", F.lit(0.0))).where("text <> '' and end > start")
     out = out.withColumn("first_sample", first).withColumn("last_sample", last).withColumn("duration", (F.col("last_sample") - F.col("first_sample")) / rate)
     return out.where((F.col("last_sample") > F.col("first_sample")) & F.col("duration").between(least, most))
 
@@ -115,3 +154,46 @@ def dataset_stats(rows: DataFrame) -> DataFrame:
         F.count_distinct("user_id").alias("speakers"),
         F.count_distinct("recording_id").alias("recordings"),
     )
+
+
+def with_both_files(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows that have all the given columns."""
+    return rows.dropna(subset=list(columns))
+
+
+def spelling_label(classified: DataFrame) -> DataFrame:
+    """(word, label): correct spelling or incorrect spelling."""
+    return classified.select("word", F.when(F.col("classification") == "correct", "correct spelling").otherwise("incorrect spelling").alias("label"))
+
+
+def excerpt(text: Column, n: int = 50) -> Column:
+    """The first ``n`` characters, with dots where more follow."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
+
+
+def changed_examples(cleaned: DataFrame, step: str, n: int = 5) -> DataFrame:
+    """The first ``n`` rows by ``pos`` of (pos, c) whose clean-up has the step, and words where the step finds some."""
+    own = lambda s: (s["step"] == step) & (s["english_words"].isNull() | (F.size(s["english_words"]) > 0))
+    return cleaned.where(F.exists("c.steps", own)).orderBy("pos").limit(n)
+
+
+def methods(detected: DataFrame) -> DataFrame:
+    """The distinct ways by which words were detected."""
+    return detected.agg(F.array_sort(F.collect_set("method")).alias("methods"))
+
+
+def metrics(rows: DataFrame) -> DataFrame:
+    """(wer) of all rows, pooled, in per cent."""
+    return rows.agg(F.round(F.coalesce(F.sum("edits") / F.nullif(F.sum("ref_words"), F.lit(0)), F.lit(0.0)) * 100, 9).alias("wer"))
+
+
+def with_errors(files: DataFrame, texts: DataFrame, key: str = "name") -> DataFrame:
+    """A row per file with its text, or the reason why there is none."""
+    return files.join(texts, key, "left").withColumn("error", F.when(F.col("text").isNull(), F.concat(F.lit("no transcript for "), F.col(key))))
+
+
+def synthetic_corpus(sentences: DataFrame) -> DataFrame:
+    """(pos, text) as a corpus: a recording per sentence, a twelfth of a second a character, one to five seconds; five speakers."""
+    return sentences.select(
+        F.format_string("synthetic_%04d", "pos").alias("recording_id"), (F.col("pos") % 5).alias("user_id"), "text", F.least(F.greatest(F.length("text") / 12, F.lit(1.0)), F.lit(5.0)).alias("duration")
+    )

@@ -11,6 +11,7 @@ from ..functions import align, classify, text
 from ..functions.tokens import let, strip, tokens
 from ..operators import lattice, transcripts
 from ..sources import files
+from . import oracles
 from .utterances import WORDS, utterances
 from .utterances import sql as utterances_sql
 
@@ -154,22 +155,37 @@ def severity_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edit_ops_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches, substitutions, deletions and insertions of each output."""
     rows = transcripts.unpivot_models(utterances(spark, sf_dir))
-    path = align.edit_path(tokens(F.col("reference")), tokens(F.col("prediction")))
+    path = align.edit_paths(tokens(F.col("reference")), tokens(F.col("prediction")))
     count = lambda c: F.length(F.regexp_replace("path", f"[^{c}]", "")).cast("bigint")
-    return rows.select("utt_id", "model_id", path["path"].alias("path")).select("utt_id", "model_id", "path", *[count(c).alias(f"n_{c.lower()}") for c in "MSDI"])
+    return rows.select("utt_id", "model_id", path.alias("path")).select("utt_id", "model_id", "path", *[count(c).alias(f"n_{c.lower()}") for c in "MSDI"])
 
 
 @_query()
 def error_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels of each output's errors."""
     rows = transcripts.unpivot_models(utterances(spark, sf_dir))
-    return rows.select("utt_id", "model_id", classify.error_labels(F.col("reference"), F.col("prediction")).alias("labels"))
+    return rows.select("utt_id", "model_id", F.array_join(classify.error_labels(F.col("reference"), F.col("prediction")), "|").alias("labels"))
 
 
 @_query()
 def taxonomy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three most frequent labels with examples: a top-k report."""
-    return transcripts.taxonomy(_rates(spark, sf_dir)).orderBy(F.desc("errors"), "category").limit(3)
+    top = transcripts.taxonomy(_rates(spark, sf_dir)).orderBy(F.desc("errors"), "category").limit(3)
+    return top.withColumn("examples", F.array_join("examples", "|"))
+
+
+@_query()
+def fix_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is proposed for the three most frequent labels: a top-k report."""
+    return transcripts.propose_fixes(transcripts.taxonomy(_rates(spark, sf_dir))).withColumn("examples", F.array_join("examples", "|"))
+
+
+@_query()
+def confusion_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs with unknown words replaced by their most frequent variant."""
+    freq = F.create_map(*[x for i, w in enumerate(dict.fromkeys(WORDS)) for x in (F.lit(w), F.lit(i + 1).cast("bigint"))])
+    rows = transcripts.unpivot_models(utterances(spark, sf_dir))
+    return rows.select(F.concat_ws("-", "utt_id", "model_id").alias("id"), text.resolve_confusions(F.col("prediction"), freq).alias("resolved"))
 
 
 @_query()
@@ -226,13 +242,23 @@ def spell_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir).groupBy("classification", "confidence").agg(F.count("*").alias("words"))
 
 
+def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _read(spark, sf_dir, "conversations").select(F.explode(tokens(F.col("text"))).alias("t")).select(F.regexp_replace("t", "[A-Za-z]+", "कख").alias("word"))
+    c = classify.classify_word(F.col("word"))
+    rows = words.distinct().select("word", F.md5(F.col("word").cast("binary")).alias("pos"), c.alias("c")).select("word", "pos", "c.*")
+    return transcripts.review_low_confidence(rows)
+
+
 @_query()
 def low_conf_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A systematic sample of words that nothing decides, reviewed."""
-    words = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(tokens(F.col("text"))).alias("p", "t")).select(F.regexp_replace("t", "[A-Za-z]+", "कख").alias("word"))
-    c = classify.classify_word(F.col("word"))
-    rows = words.distinct().select("word", F.xxhash64("word").alias("pos"), c.alias("c")).select("word", "pos", "c.*")
-    return transcripts.review_low_confidence(rows).drop("pos")
+    return _reviewed(spark, sf_dir).drop("pos")
+
+
+@_query()
+def unreliable_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories of the review on which verdicts cannot be relied."""
+    return transcripts.unreliable_categories(_reviewed(spark, sf_dir)).withColumn("examples", F.array_join("examples", "|"))
 
 
 @_query()
@@ -254,9 +280,17 @@ def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.model_summary(lattice.lattice_wer(transcripts.unpivot_models(u), lattice.lattice_bins(lattice.align_matrix(u))))
 
 
+@_query()
+def lattice_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standard and lattice error rate of each output."""
+    u = utterances(spark, sf_dir)
+    rates = lattice.lattice_wer(transcripts.unpivot_models(u), lattice.lattice_bins(lattice.align_matrix(u)))
+    return rates.select("utt_id", "model_id", F.round("standard_wer", 9).alias("standard_wer"), F.round("lattice_wer", 9).alias("lattice_wer"))
+
+
 @_query()
 def phonetic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that share a column and sound alike."""
+    """Words that share a column, with how alike they sound and whether they mean the same."""
     m = lattice.align_matrix(utterances(spark, sf_dir)).where("word is not null").select("utt_id", "pos", "word").distinct()
     pairs = m.alias("a").join(m.alias("b"), ["utt_id", "pos"]).where("a.word < b.word")
     pairs = pairs.groupBy(F.col("a.word").alias("word_a"), F.col("b.word").alias("word_b")).agg(F.count("*").alias("columns"))
@@ -313,4 +347,4 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL with the same rows."""
-    return dict(_SQL)
+    return _SQL | oracles.SQL
