@@ -43,9 +43,9 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Distinct words that a task counts before it hands them on.
 _COUNT_WORDS = 200_000
 #: A worker's lattice and the frequent words it has scored, by model, kept from task to task.
-_KNOWN_WORDS = 300_000
+_KNOWN_WORDS = 400_000
 #: Other words it keeps at once; they are many and seldom come again.
-_OTHER_WORDS = 150_000
+_OTHER_WORDS = 200_000
 _WORKER: dict = {}
 
 
@@ -77,6 +77,8 @@ class Lattice:
         self.starts = {p[:i]: -1 for p in pieces for i in range(1, len(p))} | self.index
         self.prob = probs / probs.sum() * (1 - end)
         self.logs, self.plain = np.log(self.prob).tolist(), self.prob.tolist()
+        # The same beginnings with the log probability of the piece; 1 where there is none.
+        self.arc = {p: self.logs[k] if k >= 0 else 1.0 for p, k in self.starts.items()}
         self.byte = [self.index.get(f"<0x{b:02X}>") for b in range(256)]
 
     @classmethod
@@ -120,7 +122,7 @@ class Lattice:
     def marginal(self, word: str) -> float:
         """Natural log of the probability of a word, over all its segmentations."""
         s = SPACE + word
-        get, logs, n = self.starts.get, self.logs, len(s)
+        get, logs, n = self.arc.get, self.logs, len(s)
         into: list[list[float]] = [[] for _ in range(n + 1)]
         f = 0.0
         for i in range(n):
@@ -136,18 +138,18 @@ class Lattice:
                     f = max(terms)
                     f += log(sum([exp(x - f) for x in terms]))
             k = get(s[i])
-            if k is None or k < 0:
+            if k is None or k > 0:
                 into[i + 1].append(f + sum([logs[self.byte[b]] for b in s[i].encode("utf-8", "surrogatepass")]))
                 if k is None:
                     continue
             else:
-                into[i + 1].append(f + logs[k])
+                into[i + 1].append(f + k)
             for j in range(i + 2, n + 1):
                 k = get(s[i:j])
                 if k is None:
                     break
-                if k >= 0:
-                    into[j].append(f + logs[k])
+                if k <= 0:
+                    into[j].append(f + k)
         top = max(into[n])
         return top + log(sum([exp(x - top) for x in into[n]]))
 
