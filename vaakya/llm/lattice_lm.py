@@ -11,8 +11,9 @@ the lattice gives to the text, over all its segmentations.
 ``mixed_score`` blends in a model of whole words: a word's share in training,
 weighted by one minus the share of training tokens that are words seen once.
 
-Training words' counts: the ``FREQUENT`` most frequent words go to the tasks
-as hashes and counts; words below are looked up by a join, so the corpus's
+Each distinct word of the corpus is counted and scored once, in a table by its
+hash. The ``FREQUENT`` most frequent words go to the tasks as hashes, counts
+and probabilities; words below are looked up by a join, so the corpus's
 vocabulary is nowhere in one place.
 
 Edge cases: null and empty texts are the end token alone; rows that repeat a
@@ -23,30 +24,24 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from math import exp, log, log1p, prod
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, table
+from .common import arrow_rows, drop, materialize, table
 
 VOCAB = "piece_bpe_32k.model"
-#: Words whose counts are broadcast: 16 bytes each.
+#: Words whose counts and probabilities are broadcast: 24 bytes each.
 FREQUENT = 500_000
 SPACE = "▁"
 END = 0
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Distinct words that a task counts before it hands them on.
 _COUNT_WORDS = 200_000
-#: A worker's lattice and the frequent words it has scored, by model, kept from task to task.
-_KNOWN_WORDS = 400_000
-#: Other words it keeps at once; they are many and seldom come again.
-_OTHER_WORDS = 200_000
-_WORKER: dict = {}
 
 
 def cut(text: str | None) -> list[bytes]:
@@ -208,34 +203,8 @@ class Lattice:
                 b[i] = top + log(1 + exp(low - top)) if top - low < 40 else top
 
 
-class Words:
-    """A worker's lattice, and what it has worked out of frequent and of other words; the latter in a young and an old table."""
-
-    def __init__(self, lattice: Lattice):
-        self.lattice, self.known, self.others, self.old = lattice, {}, {}, {}
-
-    def unknown(self, words: set[bytes]) -> set[bytes]:
-        """Those of ``words`` that have to be worked out; tables that are full make room first."""
-        if len(self.known) > _KNOWN_WORDS:
-            self.known = {}
-        if len(self.others) > _OTHER_WORDS:
-            self.others, self.old = {}, self.others
-        new = words.difference(self.known, self.others)
-        again = new & self.old.keys()
-        self.others.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        return new - again
-
-
-def worker_state(name: str, pieces: list[str], soft: np.ndarray, end: float) -> Words:
-    """The words of this Python worker; a function of the module, so that tasks share them."""
-    if name not in _WORKER:
-        _WORKER.clear()
-        _WORKER[name] = Words(Lattice(pieces, soft, end))
-    return _WORKER[name]
-
-
 def _count(docs: DataFrame) -> DataFrame:
-    """(h, word, c): training counts; the end token has h = END."""
+    """(h, word, c): training counts, 0 for words of held-out documents alone; the end token has h = END."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -251,23 +220,25 @@ def _count(docs: DataFrame) -> DataFrame:
         counts, ends = Counter(), 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not held_out(doc):
+                if held_out(doc):
+                    counts.update(dict.fromkeys(cut(text), 0))
+                else:
                     counts.update(cut(text))
                     ends += 1
             if len(counts) > _COUNT_WORDS:
                 yield rows(counts, ends)
                 counts, ends = Counter(), 0
-        if ends:
+        if counts or ends:
             yield rows(counts, ends)
 
     return docs.mapInArrow(run, "h long, word binary, c long").groupBy("h").agg(F.min("word").alias("word"), F.sum("c").alias("c"))
 
 
 def train(docs: DataFrame, path: str, frequent: int = FREQUENT) -> tuple[DataFrame, dict]:
-    """The stored counts, and what every task needs of the model."""
+    """The stored (h, c, inner) of each distinct word, inner its log probability, and what every task needs of the model."""
     spark = docs.sparkSession
     counts = materialize(_count(docs), "counts")
-    n, v, once, ends = counts.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long")), F.sum(F.when(F.col("h") == END, F.col("c")))).first()
+    n, v, once, ends = counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long")), F.sum((F.col("c") == 1).cast("long")), F.sum(F.when(F.col("h") == END, F.col("c")))).first()
     n, v, once, ends = n or 0, v or 0, once or 0, ends or 0
     first = Lattice.load(path)
     share = spark.sparkContext.broadcast(first)
@@ -284,104 +255,121 @@ def train(docs: DataFrame, path: str, frequent: int = FREQUENT) -> tuple[DataFra
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(into[hit])], names=["piece", "e"])
 
     soft = np.full(len(first.pieces), 0.01)
-    for r in counts.where(f"h <> {END}").select("word", "c").mapInArrow(step, "piece int, e double").groupBy("piece").agg(F.sum("e")).collect():  # a row per piece
+    for r in counts.where(f"h <> {END} and c > 0").select("word", "c").mapInArrow(step, "piece int, e double").groupBy("piece").agg(F.sum("e")).collect():  # a row per piece
         soft[r[0]] += r[1]
+    end = (ends + 0.1) / (ends + float(soft.sum()) + 0.2)
+    fitted = spark.sparkContext.broadcast(Lattice(first.pieces, soft, end))
+
+    def sums(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        lattice = fitted.value
+        for b in batches:
+            inner = [lattice.marginal(w.decode("utf-8", "surrogatepass")) for w in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(inner, pa.float64())], names=["h", "c", "inner"])
+
+    words = materialize(counts.where(f"h <> {END}").select("h", "word", "c").mapInArrow(sums, "h long, c long, inner double"), "words")
+    drop(counts)
     # The lowest count of which all words fit; the histogram of counts is short.
     least, held = 1 << 62, 0
-    levels = counts.where("c > 1").groupBy(F.when(F.col("c") < 64, F.col("c")).otherwise(F.pow(2.0, F.floor(F.log2(F.col("c") + 0.0))).cast("long")).alias("c")).count()
+    levels = words.where("c > 1").groupBy(F.when(F.col("c") < 64, F.col("c")).otherwise(F.pow(2.0, F.floor(F.log2(F.col("c") + 0.0))).cast("long")).alias("c")).count()
     for r in sorted(levels.collect(), reverse=True):
         if held + r["count"] > frequent:
             break
         least, held = r["c"], held + r["count"]
-    top = counts.where((F.col("c") >= least) | (F.col("h") == END)).select("h", "c").collect() if n else []  # frequent + 1 rows at most
-    h = np.array([r[0] for r in top] or [], np.int64)
-    order = np.argsort(h)
-    return counts, {"name": uuid.uuid4().hex, "n": n, "v": v, "beta": min(0.5, max(once / max(n, 1), 1e-4)), "end": (ends + 0.1) / (ends + float(soft.sum()) + 0.2), "least": least, "h": h[order], "c": np.array([r[1] for r in top] or [], np.int64)[order], "pieces": first.pieces, "soft": soft}
+    top = words.where(F.col("c") >= least).toArrow().sort_by("h")  # frequent rows at most
+    model = {"n": n, "v": v, "beta": min(0.5, max(once / max(n, 1), 1e-4)), "ends": ends, "end": end, "least": least, "pieces": first.pieces, "soft": soft}
+    return words, model | {k: top[k].to_numpy() for k in ("h", "c", "inner")}
 
 
 def score(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score) of each document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    counts, model = train(docs, path, frequent)
-    share = spark.sparkContext.broadcast(model)
-    n, v, beta = model["n"], model["v"], model["beta"]
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, full double, pure double, h long, times long, inner double"
+    words, model = train(docs, path, frequent)
+    n, v, beta, ends = model["n"], model["v"], model["beta"], model["ends"]
+    known = np.maximum(model["c"], 1)
+    share = spark.sparkContext.broadcast(
+        {
+            "h": model["h"],
+            "base": np.log((known + 0.1) / (n + 0.1 * (v + 1))),
+            "full": np.logaddexp(np.log((1 - beta) * known / max(n, 1)), log(beta) + model["inner"]),
+            "pure": model["inner"],
+        }
+    )
+    end = {"base": log((ends + 0.1) / (n + 0.1 * (v + 1))), "full": log((1 - beta) * ends / n) if ends else log(beta), "pure": log(model["end"])}
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from collections import Counter
+        from itertools import chain
         from pyspark import TaskContext
 
         m = share.value
-        state = worker_state(m["name"], m["pieces"], m["soft"], m["end"])
+        size = len(m["h"])
         row = TaskContext.get().partitionId() << 33
-
-        def learn(words: list[bytes]) -> None:
-            hs = np.array([word_hash(w) for w in words], np.int64)
-            at = np.minimum(np.searchsorted(m["h"], hs), max(len(m["h"]) - 1, 0))
-            cs = np.where(m["h"][at] == hs, m["c"][at], 0) if len(m["h"]) else np.zeros(len(hs), np.int64)
-            for w, h, c in zip(words, hs.tolist(), cs.tolist(), strict=True):
-                inner = state.lattice.marginal(w.decode("utf-8", "surrogatepass"))
-                if c:
-                    # log of (1 - beta) c / n + beta exp(inner)
-                    a, b = log((1 - beta) * c / n), log(beta) + inner
-                    state.known[w] = (log((c + 0.1) / (n + 0.1 * (v + 1))), max(a, b) + log(1 + exp(-abs(a - b))), inner, None)
-                else:
-                    state.others[w] = (0.0, 0.0, inner, h)
-
-        end = int(m["c"][np.searchsorted(m["h"], END)]) if n else 0
-        end_base = log((end + 0.1) / (n + 0.1 * (v + 1)))
-        end_full = log((1 - beta) * end / n) if end else log(beta)
-        end_pure = log(m["end"])
         for b in batches:
             ids, cutd = b.column(0).to_pylist(), [cut(t) for t in b.column(1).to_pylist()]
-            learn(list(state.unknown(set().union(*cutd))))
-            known, others = state.known, state.others
-            out: list[list] = [[] for _ in range(11)]
-            for doc, words in zip(ids, cutd, strict=True):
-                base, full, pure, hits, rare = end_base, end_full, end_pure, int(end > 0), []
-                for w, times in Counter(words).items():
-                    x, y, z, h = known.get(w) or others[w]
-                    pure += times * z
-                    if h is None:
-                        base += times * x
-                        full += times * y
-                        hits += times
-                    else:
-                        rare.append((h, times, z))
-                own = (row, doc, held_out(doc), len(words) + 1, hits, base, full, pure)
-                for tail in [(None, None, None), *rare]:
-                    for c, value in zip(out, (*(own if tail[0] is None else (row, None, None, None, None, None, None, None)), *tail), strict=True):
-                        c.append(value)
-                row += 1
-            types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+            docs_here = len(ids)
+            number = {w: i for i, w in enumerate(set().union(*cutd))}
+            hs = np.array([word_hash(w) for w in number], np.int64)
+            at = np.minimum(np.searchsorted(m["h"], hs), max(size - 1, 0))
+            held = m["h"][at] == hs if size else np.zeros(len(hs), bool)
+            lengths = np.array([len(ws) for ws in cutd], np.int64)
+            word = np.fromiter(map(number.__getitem__, chain.from_iterable(cutd)), np.int64, int(lengths.sum()))
+            doc = np.repeat(np.arange(docs_here), lengths)
+            is_held = held[word]
+            where, place = doc[is_held], at[word[is_held]]
+            total = {k: np.bincount(where, m[k][place], docs_here) + end[k] for k in end}
+            hits = np.bincount(where, minlength=docs_here) + int(ends > 0)
+            # The other words of each document with their numbers of times, a list a document.
+            pairs, times = np.unique(doc[~is_held] * max(len(hs), 1) + word[~is_held], return_counts=True)
+            offsets = np.searchsorted(pairs, np.arange(docs_here + 1) * max(len(hs), 1))
+            offsets = pa.array(offsets, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(row + np.arange(docs_here), pa.int64()),
+                    b.column(0),
+                    pa.array([held_out(i) for i in ids], pa.bool_()),
+                    pa.array(lengths + 1, pa.int64()),
+                    pa.array(hits, pa.int64()),
+                    *(pa.array(total[k], pa.float64()) for k in ("base", "full", "pure")),
+                    pa.ListArray.from_arrays(offsets, pa.array(hs[pairs % max(len(hs), 1)] if len(pairs) else [], pa.int64())),
+                    pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
+                ],
+                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "full", "pure", "h", "times"],
+            )
+            row += docs_here
 
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, full double, pure double, h array<long>, times array<long>"
     parts = materialize(docs.mapInArrow(run, schema), "parts")
-    below = counts.where((F.col("c") < model["least"]) & (F.col("h") != END)).select("h", "c")
-    c = F.coalesce("c", F.lit(0))
+    others = parts.select("row", F.explode(F.arrays_zip("h", "times")).alias("o")).select("row", F.col("o.h").alias("h"), F.col("o.times").alias("times"))
+    c = F.col("c")
     inner = F.lit(log(beta)) + F.col("inner")
     seen = F.log(F.lit(1 - beta) * c / F.lit(float(max(n, 1))))
     both = F.greatest(seen, inner) + F.log(1 + F.exp(-F.abs(seen - inner)))
-    rare = parts.where("h is not null").join(below, "h", "left").select(
+    rare = others.join(words.where(c < model["least"]), "h", "left").select(
         "row",
         F.when(c > 0, F.col("times")).otherwise(0).alias("k"),
         (F.col("times") * F.log((c + 0.1) / F.lit(n + 0.1 * (v + 1)))).alias("b"),
         (F.col("times") * F.when(c > 0, both).otherwise(inner)).alias("f"),
+        (F.col("times") * F.col("inner")).alias("p"),
     )
-    rest = rare.groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("f").alias("f"))
-    whole = parts.where("h is null").join(rest, "row", "left")
+    rest = rare.groupBy("row").agg(*(F.sum(x).alias(x) for x in ("k", "b", "f", "p")))
+    whole = parts.drop("h", "times").join(rest, "row", "left")
     tens = F.lit(1 / log(10))
+
+    def added(first: str, more: str) -> Column:
+        return (F.col(first) + F.coalesce(more, F.lit(0.0))) * tens
+
     return whole.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        ((F.col("base") + F.coalesce("b", F.lit(0.0))) * tens).alias("base_score"),
-        (F.col("pure") * tens).alias("score"),
-        ((F.col("full") + F.coalesce("f", F.lit(0.0))) * tens).alias("mixed_score"),
+        added("base", "b").alias("base_score"),
+        added("pure", "p").alias("score"),
+        added("full", "f").alias("mixed_score"),
     )
 
 
