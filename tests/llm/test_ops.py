@@ -445,6 +445,30 @@ def test_op8_against_plain_sums(spark):
             assert np.isclose(r.score, sum(seen[w] for w in ws) + np.log10(model["end"]))
 
 
+def test_op8_mixture_by_broadcast_and_by_join(spark):
+    """mixed_score and n_known by plain sums, where some, none or all words are broadcast."""
+    path = tokens.vocab_path(lattice_lm.VOCAB)
+    docs = spark.createDataFrame([(i, f"common word{i % 7} rare{i} Common", "x") for i in range(60)], "doc_id long, text string, h string")
+    words = {i: ["common", f"word{i % 7}", f"rare{i}", "common"] for i in range(60)}
+    count = collections.Counter(w for i, ws in words.items() if not lattice_lm.held_out(i) for w in [*ws, None])
+    n = sum(count.values())
+    _, model = lattice_lm.train(docs.select("doc_id", "text"), path)
+    lattice = lattice_lm.Lattice(model["pieces"], model["soft"], model["end"])
+    beta = min(0.5, sum(c == 1 for c in count.values()) / n)
+
+    def mixed(w):
+        inner = np.exp(lattice.marginal(w)) if w else 0.0
+        return np.log10((1 - beta) * count[w] / n + beta * inner)
+
+    for frequent in (0, 3, 1000):
+        got = lattice_lm.score(docs, path, frequent).toPandas()
+        assert sorted(got.doc_id) == list(range(60))
+        for r in got.itertuples():
+            tokens_of = [*words[r.doc_id], None]
+            assert r.n_known == sum(count[w] > 0 for w in tokens_of)
+            assert np.isclose(r.mixed_score, sum(map(mixed, tokens_of)))
+
+
 def test_op9_fit_finds_the_likeliest_model():
     """A fit of few features against a fine grid, and order of the thresholds."""
     rng = np.random.default_rng(9)
