@@ -41,6 +41,16 @@ def test_encoder_is_exact():
     assert enc.encode(texts) == enc._whole(texts)
 
 
+def test_encoder_is_exact_on_odd_characters_and_small_tables(monkeypatch):
+    monkeypatch.setattr(tokens, "CHUNK", 200)
+    enc, rng = tokens.Encoder(max_pieces=300), random.Random(2)
+    chars = [*" \n\r.,'!?$0\u00b2\u00bdcZ\u00e9\u00df\u0101\u0141\u00aa\x00\x1c\x85\xa0\xad\u0249\u0250\u0301 \u092f\u092e\u0439\u4f60\U0001f600\u0100\u0120", "'ll", " a", " .", "\n\n"]
+    texts = [None, "", *("".join(rng.choices(chars, k=rng.randint(0, 30))) for _ in range(6000)), "word " * 300 + "end"]
+    got = [x for i in range(0, len(texts), 500) for x in enc.encode(texts[i : i + 500])]
+    assert got == [np.array(enc.tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert enc.old
+
+
 def test_suffix_search_against_brute_force():
     rng = random.Random(2)
     for _ in range(30):

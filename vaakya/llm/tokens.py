@@ -3,20 +3,40 @@
 ``Encoder.encode`` gives the same ids as encoding the whole text: a text is
 cut at single spaces, which always begin a new pre-token of this vocabulary,
 and each distinct piece is encoded once by the tokenizers library and kept in
-a bounded table. Texts where that cut could differ (doubled or trailing
-spaces, a special token's string) are encoded whole.
+a bounded table. Pieces of plain characters are made up of pre-tokens, which
+are kept in that table, too; what is new among them is encoded many at a time.
+Texts where the cut at spaces could differ (doubled or trailing spaces, a
+special token's string) are encoded whole.
 """
 
 from __future__ import annotations
 
-import sys
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import compress, pairwise
+
+import numpy as np
+import regex
 
 VOCAB = "byte_bpe_50k.json"
 #: The vocabulary's only special token.
 SPECIAL = "<|endoftext|>"
 #: Pieces kept by a worker, in a young and an old table of half as many each.
 MAX_PIECES = 1_000_000
+#: Characters that are cut at once; a longer text is cut by itself.
+CHUNK = 4_000_000
+#: The vocabulary's pattern of pre-tokens (a fixed value).
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Pieces that every version of Unicode cuts alike: no control but the newline, Latin letters only.
+PLAIN = regex.compile("[\n!-~\u00a1-\u024f]*")
+BEYOND_PLAIN = "\u0250"
+
+
+def byte_letters() -> np.ndarray:
+    """The letter that stands for each byte in a byte-level vocabulary: bytes
+    that print stand for themselves, the others follow from U+0100 on."""
+    own = [33 <= b < 127 or 161 <= b < 256 and b != 173 for b in range(256)]
+    return np.array([b if own[b] else 256 + b - sum(own[:b]) for b in range(256)], "<u4")
 
 
 def vocab_path(name: str = VOCAB) -> str:
@@ -38,76 +58,135 @@ class Encoder:
         from tokenizers import pre_tokenizers
 
         self.tok = Tokenizer.from_file(path or vocab_path())
-        # For pieces known to be one pre-token: no cutting, and no cache below ours.
-        self.single = Tokenizer.from_file(path or vocab_path())
-        self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        if hasattr(model := self.single.model, "_resize_cache"):
+        # For pre-tokens in byte letters, the letter of a zero byte between them;
+        # nothing is left to cut, and no cache stands below ours.
+        model = Tokenizer.from_file(path or vocab_path()).model
+        if hasattr(model, "_resize_cache"):
             model._resize_cache(0)
-            self.single.model = model
+        self.letters = byte_letters()
+        zero = chr(self.letters[0])
+        self.bare = Tokenizer(model)
+        self.bare.pre_tokenizer = pre_tokenizers.Split(zero, "isolated")
+        self.between = self.bare.token_to_id(zero)
         self.max_pieces = max_pieces
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str], single: bool = False) -> list[bytes]:
-        from array import array
-
-        tok = self.single if single else self.tok
-        batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
-        out = [array("I", e.ids) for e in batch(texts, add_special_tokens=False)]
-        if sys.byteorder == "big":
-            for a in out:
-                a.byteswap()
-        return [a.tobytes() for a in out]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        return [np.array(e.ids, "<u4").tobytes() for e in batch(texts, add_special_tokens=False)]
+
+    def _bare(self, tokens: list[str]) -> list[bytes]:
+        """Ids of each of some pre-tokens without zero bytes."""
+        raw = np.frombuffer("\0".join(tokens).encode(), np.uint8)
+        batch = getattr(self.bare, "encode_batch_fast", self.bare.encode_batch)
+        ids = np.array(batch([self.letters[raw].tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, "<u4")
+        out, at, data = [], 0, ids.tobytes()
+        for end in (4 * np.flatnonzero(ids == self.between)).tolist():
+            out.append(data[at:end])
+            at = end + 4
+        return [*out, data[at:]]
 
     @staticmethod
-    def pieces(text: str) -> list[str] | None:
-        """The text's parts between single spaces, or None if it has to be encoded whole."""
-        if "  " in text or text[-1:] == " " or SPECIAL in text:
-            return None
-        return text.split(" ")
-
-    def _learn(self, new: set[str]) -> None:
-        """Adds pieces, each as it stands after a space. A tail of stops or
-        commas is a pre-token of its own behind a Latin letter or digit."""
-        known = self.known
-        tails, stems = {}, set()
+    def cuts(text: str) -> bool:
+        """Whether the text may be encoded in parts, between single spaces."""
+        return not ("  " in text or text[-1:] == " " or SPECIAL in text)
+
+    def _recall(self, keys: Iterable[str]) -> list[str]:
+        """Those keys that are not known. What is met again comes over from
+        the old table; what is not, goes with it."""
+        known, old = self.known, self.old
+        new = []
+        for k in keys:
+            if k not in known:
+                if k in old:
+                    known[k] = old[k]
+                else:
+                    new.append(k)
+        return new
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds pieces, each as it stands after a space. A pre-token that
+        begins with a space has the rest as its key, any other has itself and
+        a space behind, which no piece has."""
+        known, parts, odd = self.known, {}, []
+        words = set()
         for p in new:
+            if p.isalpha():
+                words.add(p) if p.isascii() or max(p) < BEYOND_PLAIN else odd.append(p)
+                continue
             stem = p.rstrip(".,")
-            if stem and stem != p and stem[-1] < "\u0250" and stem[-1].isalnum() and stem[-1] not in "\u00b2\u00b3\u00b9":
-                tails[p] = (stem, p[len(stem) :])
-                if stem not in known:
-                    stems.add(stem)
+            if stem.isalpha() and (stem.isascii() or max(stem) < BEYOND_PLAIN):
+                parts[p] = (stem, p[len(stem) :] + " ")
+            elif PLAIN.fullmatch(p):
+                parts[p] = [t[1:] if t[0] == " " else t + " " for t in PRE_TOKEN.findall(" " + p)]
             else:
-                stems.add(p)
-        words = [p for p in stems if p.isascii() and p.isalpha() or p.isalpha() and max(p) < "\u0250"]
-        for order, single in ((words, True), (list(stems.difference(words)), False)):
-            for i in range(0, len(order), 2_000):
-                part = order[i : i + 2_000]
-                known.update(zip(part, self._whole([" " + p for p in part], single), strict=True))
-        ends = list({t for _, t in tails.values()})
-        end = dict(zip(ends, self._whole(ends), strict=True))
-        known.update((p, known[stem] + end[t]) for p, (stem, t) in tails.items())
+                odd.append(p)
+        # A piece of one pre-token is its own part.
+        words.update(self._recall(set().union(*parts.values())))
+        todo = list(words)
+        for i in range(0, len(todo), 2_000):
+            keys = todo[i : i + 2_000]
+            known.update(zip(keys, self._bare([k[:-1] if k[-1:] == " " else " " + k for k in keys]), strict=True))
+        for i in range(0, len(odd), 2_000):
+            keys = odd[i : i + 2_000]
+            known.update(zip(keys, self._whole([" " + p for p in keys]), strict=True))
+        get = known.__getitem__
+        for p, keys in parts.items():
+            known[p] = b"".join(map(get, keys))
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that may be cut: each distinct piece is looked up once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes; null is empty."""
-        cut = [self.pieces(x) if x else [] for x in texts]
         if 2 * len(self.known) > self.max_pieces:
             self.known, self.old = {}, self.known
-        new = set().union(*[ps[1:] for ps in cut if ps])
-        new.difference_update(self.known)
-        # What is met again comes over from the old table; what is not, goes with it.
-        again = new & self.old.keys() if self.old else set()
-        if again:
-            self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
-            new -= again
-        if new:
-            self._learn(new)
-        heads = list({ps[0] for ps in cut if ps and ps[0]})
-        head = dict(zip(heads, self._whole(heads), strict=True)) | {"": b""}
-        whole = [i for i, ps in enumerate(cut) if ps is None]
-        long = dict(zip(whole, self._whole([texts[i] for i in whole]), strict=True)) if whole else {}
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        at = coded.indices.to_numpy().astype(np.int64)
+        # What begins a text stands after no space, so it goes behind the others.
+        heads: dict[str, int] = {}
+        first = bounds[:-1]
+        at[first] = [heads.setdefault(pieces[i], len(pieces) + len(heads)) for i in at[first].tolist()]
+        used = np.bincount(at, minlength=len(pieces) + len(heads))[: len(pieces)].astype(bool).tolist()
+        self._learn(self._recall(compress(pieces, used)))
         get = self.known.__getitem__
-        return [long[i] if ps is None else head[ps[0]] + b"".join(map(get, ps[1:])) if ps else b"" for i, ps in enumerate(cut)]
+        ids = [get(p) if u else b"" for p, u in zip(pieces, used, strict=True)] + self._whole(list(heads))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        start = np.cumsum(size) - size
+        n = size[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        data = flat[np.repeat(start[at] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        marks = (4 * ends[bounds]).tolist()
+        return [data[i:j] for i, j in pairwise(marks)]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as bytes; null is empty."""
+        out = [b""] * len(texts)
+        group: list[int] = []
+        chars = 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.cuts(text):
+                out[i] = self._whole([text])[0]
+                continue
+            if group and chars + len(text) > CHUNK:
+                self._fill(out, texts, group)
+                group, chars = [], 0
+            group.append(i)
+            chars += len(text)
+        if group:
+            self._fill(out, texts, group)
+        return out
+
+    def _fill(self, out: list[bytes], texts: list[str | None], rows: list[int]) -> None:
+        for i, ids in zip(rows, self._cut([texts[i] for i in rows]), strict=True):
+            out[i] = ids
 
 
 @lru_cache(1)
