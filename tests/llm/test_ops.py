@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import os
 import random
+import tracemalloc
 import zlib
 
 import duckdb
@@ -500,6 +501,27 @@ def test_op9_fit_finds_the_likeliest_model():
     assert here <= grid + 2e-3 and t1 < t2
 
 
+def test_op9_fit_holds_weighted_features_only(monkeypatch):
+    """Two million features, few of which get a weight, are never copied as a whole; parts of any size give the same model."""
+    rng = np.random.default_rng(19)
+    y = rng.integers(0, 3, 4_000)
+    sets = [np.append(1_000 + rng.choice(100_000, 500, False), [int(k), 10 + int(rng.integers(5))]).astype(np.int32) for k in y]
+    tracemalloc.start()
+    try:
+        model = quality.fit(sets, y, 3)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 8 * sum(map(len, sets)) + 8 * 4 * (1 << quality.BITS)
+    bad = y < 2
+    seen, hit = (np.bincount(np.concatenate([s for s, b in zip(sets, of, strict=True) if b]), minlength=1 << quality.BITS) for of in (np.ones(len(y), bool), bad))
+    away = np.abs(hit - seen * bad.mean()) / np.sqrt(np.maximum(seen * bad.mean() * (1 - bad.mean()), 1e-9))
+    assert set(np.flatnonzero(model.weights)) == set(np.flatnonzero((seen >= quality.MIN_DOCS) & (away >= quality.APART)))
+    monkeypatch.setattr(quality, "FIT_ROWS", 7)
+    again = quality.fit(sets, y, 3)
+    assert (again.weights == model.weights).all() and (again.thresholds == model.thresholds).all()
+
+
 def test_op9_clashing_columns(spark):
     clash = spark.createDataFrame([(1, "a b", True, 0.5, 1)], "doc_id long, text string, kept boolean, tail double, expected_grade int")
     model = quality.train(clash, spark.createDataFrame([], "doc_id long, quality int, toxic int"))

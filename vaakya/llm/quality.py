@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, table
+from .common import arrow_rows, table, trim
 
 BITS = 20
 GRADES = 3
@@ -36,6 +36,8 @@ MIN_DOCS = 3
 APART = 3.5
 #: Places at the end kept for shape features.
 SHAPES = 4096
+#: Sets that the fit looks at together.
+FIT_ROWS = 1_000
 STEPS = 150
 #: Penalty on squared weights, per labelled row.
 RIDGE = 5e-5
@@ -111,20 +113,37 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(sets: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> Model:
-    """Maximum likelihood with a ridge, by Adam on whole gradients."""
+    """Maximum likelihood with a ridge, by Adam on whole gradients.
+
+    Sets are read ``FIT_ROWS`` at a time, so that only the features with a weight stand in memory together.
+    """
     size = 1 << BITS
     if not sets:
         return Model(np.zeros(size, np.float32), np.full(GRADES - 1, -40.0))
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    n, y = len(sets), np.asarray(grades)
+    bad = y < GRADES - 1
+    seen, with_bad = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for lo in range(0, n, FIT_ROWS):
+        part = sets[lo : lo + FIT_ROWS]
+        seen += np.bincount(np.concatenate(part), minlength=size)
+        part = [s for s, b in zip(part, bad[lo : lo + FIT_ROWS], strict=True) if b]
+        if part:
+            with_bad += np.bincount(np.concatenate(part), minlength=size)
     # Words are kept if they go with bad or good ratings more than chance allows; shapes always.
-    bad = np.asarray(grades) < GRADES - 1
-    seen, with_bad, p0 = np.bincount(flat, minlength=size), np.bincount(flat, bad[owner], size), np.clip(bad.mean(), 1e-6, 1 - 1e-6)
+    used, p0 = np.flatnonzero(seen), np.clip(bad.mean(), 1e-6, 1 - 1e-6)
+    seen, with_bad = seen[used], with_bad[used]
     away = np.abs(with_bad - seen * p0) / np.sqrt(np.maximum(seen * p0 * (1 - p0), 1e-9))
-    kept = ((seen >= min(MIN_DOCS, len(sets))) & (away >= APART))[flat] | (flat >= size - SHAPES)
-    used, flat = np.unique(flat[kept], return_inverse=True)
-    owner = owner[kept]
-    n, y = len(sets), np.asarray(grades)
+    used = used[((seen >= min(MIN_DOCS, n)) & (away >= APART)) | (used >= size - SHAPES)]
+    place = np.full(size, -1, np.int32)
+    place[used] = np.arange(len(used))
+    flats, sizes = [], []
+    for lo in range(0, n, FIT_ROWS):
+        part = sets[lo : lo + FIT_ROWS]
+        at = place[np.concatenate(part)]
+        sizes.append(np.bincount(np.repeat(np.arange(len(part)), [len(s) for s in part]), at >= 0, len(part)).astype(np.int64))
+        flats.append(at[at >= 0])
+    flat, owner = np.concatenate(flats).astype(np.int64), np.repeat(np.arange(n), np.concatenate(sizes))
+    del flats, place
     share = np.array([(np.sum(y < j) + 0.5) / (n + 1) for j in range(1, GRADES)])
     t0 = np.log(share / (1 - share))
     p = np.concatenate([np.zeros(len(used)), [t0[0]], np.log(np.maximum(np.diff(t0), 1e-2))])
@@ -167,8 +186,12 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
     # Texts are hashed where they lie; only their features are sorted.
     sets = texts.join(F.broadcast(some), "_id").select("_grade", "text", "_id").mapInArrow(run, "grade int, ids binary, id long")
-    rows = sets.orderBy("id", "grade", "ids").limit(limit).select("grade", "ids").collect()  # at most limit rows
-    return fit([np.frombuffer(r["ids"], "<i4").astype(np.int64) for r in rows], np.array([r["grade"] for r in rows], int))
+    # At most limit rows; as an Arrow table they take their bytes and no objects of the driver.
+    rows = sets.orderBy("id", "grade", "ids").limit(limit).select("grade", "ids").toArrow()
+    model = fit([np.frombuffer(x.as_buffer(), "<i4") for x in rows.column("ids")], rows.column("grade").to_numpy().astype(int))
+    del rows
+    trim()
+    return model
 
 
 def grade(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
