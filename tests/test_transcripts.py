@@ -134,3 +134,28 @@ def test_repetition_ngrams_documents(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id: r.fixed for r in catalog._QUERIES["repetition_ngrams_documents"](spark, SF).collect()}
     assert got == {i: t if t is None else fixed(t) for i, t in docs.items()}
+
+
+def test_repetition_ngrams_at_length(spark):
+    """Repetitions that touch and overlap, against a loop; a long text takes no longer than its length asks."""
+    import random
+    import time
+
+    def fixed(w):
+        w = [x for i, x in enumerate(w) if i == 0 or x != w[i - 1]]
+        for n in (2, 3):
+            out = []
+            for x in w:
+                out.append(x)
+                if len(out) >= 2 * n and out[-n:] == out[-2 * n : -n]:
+                    del out[-n:]
+            w = out
+        return " ".join(w)
+
+    rng = random.Random(3)
+    rows = [rng.choices(["a", "b", "aa", "é", "b.", "𝒳"][: rng.randint(2, 6)], k=rng.randint(2, 40)) for _ in range(5000)]
+    assert each(spark, text.suppress_repetitions, *[" ".join(w) for w in rows]) == [fixed(w) for w in rows]
+    long = [rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(100_000)]
+    began = time.time()
+    assert each(spark, text.suppress_repetitions, " ".join(long)) == [fixed(long)]
+    assert time.time() - began < 60

@@ -169,18 +169,14 @@ def normalize(text: Column, variants: bool = True, nukta: bool = False, compose:
     return F.regexp_replace(t, f"^{SPACE}+|{SPACE}+$", "")
 
 
-def drop_repeated_ngrams(words: Column, n: int) -> Column:
-    """Drops an n-gram that repeats the one before it: a word is pushed, and an n-gram that repeats is popped."""
+def drop_repeated_ngrams(text: Column, n: int) -> Column:
+    """Drops an n-gram that repeats the one before it, of tokens with one space between.
 
-    def push(acc: Column, w: Column) -> Column:
-        return let(F.concat(acc, F.array(w)), popped)
-
-    def popped(new: Column) -> Column:
-        size = F.size(new)
-        twice = (size >= 2 * n) & (F.slice(new, F.greatest(size - n + 1, F.lit(1)), F.lit(n)) == F.slice(new, F.greatest(size - 2 * n + 1, F.lit(1)), F.lit(n)))
-        return F.when(twice, F.slice(new, F.lit(1), F.greatest(size - n, F.lit(0)))).otherwise(new)
-
-    return F.aggregate(words, F.array().cast("array<string>"), push)
+    Of two copies the first is matched and the search goes on at the second, which leaves what a stack of words
+    leaves that pops an n-gram that repeats, in one pass over the text.
+    """
+    gram = " ".join(["[^ ]++"] * n)
+    return F.regexp_replace(text, rf"(?<![^ ])({gram}) (?=\1(?![^ ]))", "")
 
 
 def suppress_repetitions(text: Column, ngrams: tuple[int, ...] = (2, 3)) -> Column:
@@ -188,9 +184,8 @@ def suppress_repetitions(text: Column, ngrams: tuple[int, ...] = (2, 3)) -> Colu
 
     def dropped(words: Column) -> Column:
         once = F.filter(words, lambda w, i: (i == 0) | (w != F.get(words, F.greatest(i - 1, F.lit(0)))))
-        for n in ngrams:
-            once = drop_repeated_ngrams(once, n)
-        return F.when(F.size(words) <= 1, text).otherwise(join(once))
+        fixed = reduce(drop_repeated_ngrams, ngrams, join(once))
+        return F.when(F.size(words) <= 1, text).otherwise(fixed)
 
     meant = reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in L.INTENDED])
     return F.when(meant, text).otherwise(let(tokens(text), dropped))
