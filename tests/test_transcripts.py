@@ -159,3 +159,15 @@ def test_repetition_ngrams_at_length(spark):
     began = time.time()
     assert each(spark, text.suppress_repetitions, " ".join(long)) == [fixed(long)]
     assert time.time() - began < 60
+
+
+def test_repairs_are_computed_once(spark):
+    """Outputs that recur count each, an empty reference is unchanged, and no step is repeated where another names it."""
+    rows = [("m1", "में बन", "मे मे बन"), ("m1", "में बन", "मे मे बन"), ("m1", "में बन", "में बन"), ("m1", "", "बन"), ("m2", "में में बन", "में में बन"), ("m2", "में बन", "में वन बन वन बन"), ("m2", "में बन", ""), ("m2", None, "बन")]
+    freq = F.create_map(*[x for w, n in (("में", 1), ("बन", 2)) for x in (F.lit(w), F.lit(n).cast("bigint"))])
+    got = transcripts.repair_effects(spark.createDataFrame(rows, "model_id string, reference string, prediction string"), freq)
+    assert sorted(map(tuple, got.collect())) == [("m1", 2, 2, 0), ("m2", 1, 2, 1)]
+    steps = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\\.{2,}")
+    docs = spark.range(3).select(F.concat(F.lit("में बन "), F.col("id").cast("string")).alias("t"))
+    assert steps(docs.select(text.fix(F.col("t"), freq, compose=False).alias("f"))) == 1
+    assert steps(catalog.queries()["fix_eval"](spark, SF)) == 2

@@ -239,4 +239,4 @@ def fix(text: Column, freq: Column, compose: bool = True) -> Column:
     Composing is a UDF, which higher-order functions cannot hold: store
     ``nfc(text)`` first and pass ``compose=False`` where texts need it.
     """
-    return resolve_confusions(suppress_repetitions(normalize(text, compose=compose)), freq)
+    return let(normalize(text, compose=compose), lambda t: resolve_confusions(suppress_repetitions(t), freq))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import align, classify
+from ..functions import align, classify, text
 from ..functions import lexicon as L
 from ..functions.tokens import SPACE, literal_map, tokens
 
@@ -70,6 +70,22 @@ def taxonomy(rows: DataFrame, examples: int = 5) -> DataFrame:
     return counts.join(first, "category").select("category", "errors", F.transform("e", lambda x: x["prediction"]).alias("examples"))
 
 
+def repair_effects(rows: DataFrame, freq: Column) -> DataFrame:
+    """(model_id, improved, unchanged, degraded): outputs by what the repairs do to their rates, in composed texts.
+
+    Each distinct output of a model for a reference is repaired once, and each step stands in a column of its own:
+    within one expression it would be computed wherever a later step names it.
+    """
+    each = rows.groupBy("model_id", "reference", "prediction").agg(F.count("*").alias("n"))
+    norm = each.select("model_id", "n", tokens(text.normalize(F.col("reference"), compose=False)).alias("r"), text.normalize(F.col("prediction"), compose=False).alias("o"))
+    fixed = norm.select("model_id", "n", "r", tokens(F.col("o")).alias("h"), tokens(text.resolve_confusions(text.suppress_repetitions(F.col("o")), freq)).alias("f"))
+    rate = lambda c: align.wer(F.col("r"), F.col(c))
+    w = fixed.select("model_id", "n", rate("h").alias("a"), F.when(F.col("h") != F.col("f"), rate("f")).alias("b"))
+    b = F.coalesce("b", "a")
+    number = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return w.groupBy("model_id").agg(number(b < F.col("a")).alias("improved"), number(b == F.col("a")).alias("unchanged"), number(b > F.col("a")).alias("degraded"))
+
+
 def propose_fixes(errors: DataFrame, top: int = 3) -> DataFrame:
     """The most frequent categories of ``taxonomy`` with what is proposed for each: a top-k report."""
     titles, ways = (literal_map({k: v[i] for k, v in L.PROPOSALS.items()}) for i in (0, 1))

@@ -217,9 +217,7 @@ def fix_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs improved, unchanged and degraded by the repairs, by model."""
     rows = transcripts.unpivot_models(utterances(spark, sf_dir))
     freq = F.create_map(*[x for i, w in enumerate(dict.fromkeys(WORDS)) for x in (F.lit(w), F.lit(i + 1).cast("bigint"))])
-    norm = rows.select("model_id", text.normalize(F.col("reference"), compose=False).alias("r"), text.normalize(F.col("prediction"), compose=False).alias("o"), text.fix(F.col("prediction"), freq, compose=False).alias("f"))
-    w = norm.select("model_id", align.wer(tokens(F.col("r")), tokens(F.col("o"))).alias("a"), align.wer(tokens(F.col("r")), tokens(F.col("f"))).alias("b"))
-    return w.groupBy("model_id").agg(F.count_if(F.col("b") < F.col("a")).alias("improved"), F.count_if(F.col("b") == F.col("a")).alias("unchanged"), F.count_if(F.col("b") > F.col("a")).alias("degraded"))
+    return transcripts.repair_effects(rows, freq)
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
