@@ -171,3 +171,23 @@ def test_repairs_are_computed_once(spark):
     docs = spark.range(3).select(F.concat(F.lit("में बन "), F.col("id").cast("string")).alias("t"))
     assert steps(docs.select(text.fix(F.col("t"), freq, compose=False).alias("f"))) == 1
     assert steps(catalog.queries()["fix_eval"](spark, SF)) == 2
+
+
+def test_taxonomy_labels_each_error_once(spark):
+    """Counts and first examples over many batches, out of order; the query labels in one place and needs no distance."""
+    rows = [((i * 7919) % 30_011 - 5, f"model_{i % 3}", "a b c", f"{'x' if i % 2 else 'a'} b c {i % 11}" if i % 5 else "a b c") for i in range(30_011)]
+    rows.append((None, "model_9", "a b c", "a b"))
+    df = spark.createDataFrame(rows, "utt_id long, model_id string, reference string, prediction string").repartition(3)
+    got = {r.category: (r.errors, r.examples) for r in transcripts.error_taxonomy(transcripts.errors(df)).collect()}
+    wrong = sorted((r for r in rows if r[2] != r[3]), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    number = [r for r in wrong if r[0] is not None]
+    assert got["code_mixing"] == (len(wrong), [r[3] for r in wrong[:5]])
+    assert got["number_error"] == (len(number), [r[3] for r in number[:5]])
+    assert got["deletion_error"] == (1, ["a b"])
+    rates = transcripts.wer_pairs(df)
+    assert {r.category: (r.errors, r.examples) for r in transcripts.taxonomy(rates).collect()} == got
+    none = [(1, "m", "", "a"), (2, "m", None, "a"), (3, "m", "a", " a ")]
+    assert transcripts.error_taxonomy(transcripts.errors(spark.createDataFrame(none, df.schema))).count() == 0
+    for name in ("taxonomy_topk", "fix_proposals"):
+        plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().count("levenshtein(") == 1

@@ -27,9 +27,9 @@ def _labels(ref: Column, pred: Column, rw: Column, pw: Column) -> Column:
     numbers = F.array(*map(F.lit, L.ERROR_NUMBERS))
     has = lambda ws, t: F.arrays_overlap(ws, numbers) | t.rlike(_DIGIT)
     bag = lambda ws: F.array_sort(F.array_distinct(ws))
-    rn, pn = has(rw, ref), has(pw, pred)
+    number = let(has(rw, ref), lambda rn: let(has(pw, pred), lambda pn: (rn | pn) & ((rn != pn) | (bag(rw) != bag(pw)))))
     filler = lambda a, b: _any([F.contains(a, F.lit(f)) & ~F.contains(b, F.lit(f)) for f in L.FILLERS])
-    close = F.exists(F.zip_with(rw, pw, lambda a, b: (a != b) & (F.levenshtein(a, b) <= 2)), lambda x: F.coalesce(x, F.lit(False)))
+    close = F.exists(F.zip_with(rw, pw, lambda a, b: (a != b) & (F.levenshtein(a, b, 2) >= 0)), lambda x: F.coalesce(x, F.lit(False)))
     n = F.size(rw)
 
     def again(w: Column, i: Column) -> Column:
@@ -38,21 +38,22 @@ def _labels(ref: Column, pred: Column, rw: Column, pw: Column) -> Column:
         return F.coalesce(follows & free, F.lit(False))
 
     repeated = F.exists(F.transform(pw, again), lambda x: x)
-    bare = lambda t: tokens(F.regexp_replace(t, rf"[{DANDA},.!?\-]", ""))
+    marks = rf"[{DANDA},.!?\-]"
+    bare = lambda t, ws: F.when(t.rlike(marks), tokens(F.regexp_replace(t, marks, ""))).otherwise(ws)
     labels = [
         (F.concat_ws(" ", ref, pred).rlike("[a-zA-Z]"), "code_mixing"),
-        ((rn | pn) & ((rn != pn) | (bag(rw) != bag(pw))), "number_error"),
+        (number, "number_error"),
         (filler(pred, ref), "disfluency_insertion"),
         (filler(ref, pred), "disfluency_deletion"),
         ((n == F.size(pw)) & close, "phonetic_confusion"),
         (repeated, "repetition_error"),
         (F.size(pw) > n * F.lit(1.3), "insertion_error"),
         (F.size(pw) < n * F.lit(0.7), "deletion_error"),
-        ((bare(ref) == bare(pred)) & (ref != pred), "punctuation_only"),
+        ((ref != pred) & (bare(ref, rw) == bare(pred, pw)), "punctuation_only"),
         (_any([F.contains(ref, F.lit(c)) != F.contains(pred, F.lit(c)) for c in L.CONJUNCTS]), "conjunct_consonant_error"),
     ]
-    found = F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in labels]))
-    return F.when((F.size(found) == 0) & (ref != pred), F.array(F.lit("general_substitution"))).otherwise(found)
+    every = F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in labels]))
+    return let(every, lambda found: F.when((F.size(found) == 0) & (ref != pred), F.array(F.lit("general_substitution"))).otherwise(found))
 
 
 def severity(rate: Column) -> Column:

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import align, classify, text
 from ..functions import lexicon as L
@@ -61,13 +68,49 @@ def sample_errors(rows: DataFrame, n: int = 25, order: tuple[str, ...] = ("wer",
     return both.where(f"place <= {max(n, 25)}")
 
 
+def errors(pairs: DataFrame) -> DataFrame:
+    """The (reference, prediction) of a rate above 0: other words, and a reference that has some. Needs no distance."""
+    r, h = tokens(F.col("reference")), tokens(F.col("prediction"))
+    return pairs.where((F.size(r) > 0) & (r != h))
+
+
 def taxonomy(rows: DataFrame, examples: int = 5) -> DataFrame:
     """(category, errors, examples): labels of all errors, with the first examples by id."""
-    each = rows.where("wer > 0").select("utt_id", "model_id", "prediction", F.explode(classify.error_labels(F.col("reference"), F.col("prediction"))).alias("category"))
-    w = Window.partitionBy("category").orderBy("utt_id", "model_id")
-    first = each.withColumn("i", F.row_number().over(w)).where(f"i <= {examples}").groupBy("category").agg(F.array_sort(F.collect_list(F.struct("i", "prediction"))).alias("e"))
-    counts = each.groupBy("category").agg(F.count("*").alias("errors"))
-    return counts.join(first, "category").select("category", "errors", F.transform("e", lambda x: x["prediction"]).alias("examples"))
+    return error_taxonomy(rows.where("wer > 0"), examples)
+
+
+def error_taxonomy(rows: DataFrame, examples: int = 5) -> DataFrame:
+    """``taxonomy`` of rows that are errors all.
+
+    Each row is labelled once: a task counts its labels and keeps the first examples of each, so that what is
+    gathered for a category is a few rows from each task.
+    """
+    each = rows.select("utt_id", "model_id", "prediction", F.explode(classify.error_labels(F.col("reference"), F.col("prediction"))).alias("category"))
+    schema = StructType([*each.schema.fields, StructField("n", LongType())])
+
+    def by_id(t: pa.Table) -> pa.Array:
+        return pc.sort_indices(t, sort_keys=[("utt_id", "ascending"), ("model_id", "ascending")], null_placement="at_start")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        first: dict[str, pa.Table] = {}
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t.take(by_id(t))
+            category = t["category"].combine_chunks().dictionary_encode()
+            code = category.indices.to_numpy()
+            for k, c in enumerate(category.dictionary.to_pylist()):
+                own = np.flatnonzero(code == k)
+                counts[c] += len(own)
+                both = pa.concat_tables([*([first[c]] if c in first else []), t.take(pa.array(own[:examples]))])
+                first[c] = both.take(by_id(both)[:examples])
+        for c, t in first.items():
+            n = pa.array([counts[c]] + [0] * (t.num_rows - 1), pa.int64())
+            yield from t.append_column("n", n).combine_chunks().to_batches()
+
+    found = F.slice(F.array_sort(F.collect_list(F.struct("utt_id", "model_id", "prediction"))), 1, examples)
+    out = each.mapInArrow(fold, schema).groupBy("category").agg(F.sum("n").alias("errors"), found.alias("e"))
+    return out.select("category", "errors", F.transform("e", lambda x: x["prediction"]).alias("examples"))
 
 
 def repair_effects(rows: DataFrame, freq: Column) -> DataFrame:

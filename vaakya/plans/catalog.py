@@ -120,6 +120,10 @@ def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.wer_pairs(transcripts.unpivot_models(utterances(spark, sf_dir)))
 
 
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.errors(transcripts.unpivot_models(utterances(spark, sf_dir)))
+
+
 @_query(_PAIRS + "select utt_id, model_id, edits, ref_words, round(wer, 9) as wer from rates")
 def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error rate of each output."""
@@ -170,14 +174,14 @@ def error_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def taxonomy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three most frequent labels with examples: a top-k report."""
-    top = transcripts.taxonomy(_rates(spark, sf_dir)).orderBy(F.desc("errors"), "category").limit(3)
+    top = transcripts.error_taxonomy(_errors(spark, sf_dir)).orderBy(F.desc("errors"), "category").limit(3)
     return top.withColumn("examples", F.array_join("examples", "|"))
 
 
 @_query()
 def fix_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is proposed for the three most frequent labels: a top-k report."""
-    return transcripts.propose_fixes(transcripts.taxonomy(_rates(spark, sf_dir))).withColumn("examples", F.array_join("examples", "|"))
+    return transcripts.propose_fixes(transcripts.error_taxonomy(_errors(spark, sf_dir))).withColumn("examples", F.array_join("examples", "|"))
 
 
 @_query()
